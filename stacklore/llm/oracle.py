@@ -43,6 +43,27 @@ _SETS = f"""{_TAGS},
  u AS (SELECT s.src, s.id, len(items) AS n, tag.item FROM s JOIN tag USING (src, id)),
  i AS (SELECT a.src, a.id AS id_a, b.id AS id_b, a.n + b.n AS n, count(*) AS k FROM u a JOIN u b ON a.src = b.src AND a.item = b.item AND a.id < b.id GROUP BY 1, 2, 3, 4)"""
 
+_SHINGLES = f"""{_CURRENT},
+ t AS (SELECT 'readme' AS field, row_id AS id, readme AS text FROM cur UNION ALL SELECT 'description', row_id, description FROM cur),
+ w AS (SELECT field, id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t WHERE text IS NOT NULL),
+ g AS (SELECT DISTINCT field, id, unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS g FROM w WHERE len(w) >= 3),
+ k AS (SELECT field, id, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 6),
+ s AS (SELECT g.field, g.id, n, hash(g) AS g FROM g JOIN k USING (field, id)),
+ p AS (SELECT a.field, a.id AS row_id_a, b.id AS row_id_b, a.n + b.n AS n, count(*) AS c FROM s a JOIN s b ON a.field = b.field AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4)"""
+_PLAIN = "replace(replace(replace(replace(replace(replace(replace(lower({}), ' ', ''), chr(9), ''), chr(160), ''), '_', ''), '-', ''), '.', ''), '/', '')"
+_CANONICAL = f"""raw AS (SELECT 'github_repos' AS src, row_id AS id, unnest(list_distinct(topics)) AS value FROM github_repos UNION ALL SELECT 'repos', repo_id, unnest(list_distinct(tech_stack)) FROM repos),
+ q AS (SELECT DISTINCT src, id, value, {_PLAIN.format("value")} AS p FROM raw WHERE trim(value, ' ' || chr(9) || chr(160)) <> '' AND value NOT IN (SELECT canonical FROM tech_vocab)),
+ v AS (SELECT canonical, {_PLAIN.format("canonical")} AS p FROM tech_vocab),
+ a AS (SELECT {_PLAIN.format("alias")} AS p, canonical FROM tech_alias),
+ d AS (SELECT u.p, v.canonical, levenshtein(u.p, v.p) AS d FROM (SELECT DISTINCT p FROM q) u JOIN v ON levenshtein(u.p, v.p) <= least(2, len(v.p) // 4)),
+ m AS (SELECT p, min(d) AS d FROM d GROUP BY 1),
+ b AS (SELECT p, CASE count(*) WHEN 1 THEN min(canonical) ELSE '' END AS canonical FROM d JOIN m USING (p, d) GROUP BY 1)"""
+_TOKENS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f\\v]+'))"
+_GRAMS = """dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+ iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+ dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, len(w) - 8)]) AS g FROM dw WHERE len(w) >= 10),
+ ig AS (SELECT item_id, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, len(w) - 8)]) AS g FROM iw WHERE len(w) >= 10)"""
+
 
 def sql() -> dict[str, str]:
     return {
@@ -53,4 +74,9 @@ def sql() -> dict[str, str]:
         "p5_frequencies": f"WITH {_COUNTS} SELECT field, value, occurrences, records, n_records, mark FROM m",
         "p5_found": f"WITH {_COUNTS} SELECT field, value, mark FROM m WHERE mark <> ''",
         "p6_found": f"WITH {_SETS} SELECT src, id_a, id_b FROM i WHERE k * 5 >= (n - k) * 3",
+        "p3_found": f"WITH {_SHINGLES} SELECT field, row_id_a, row_id_b FROM p WHERE 2 * c >= n - c",
+        "p7_found": f"WITH {_CANONICAL} SELECT src, id, value, coalesce(a.canonical, b.canonical, '') AS canonical FROM q LEFT JOIN a ON a.p = q.p LEFT JOIN b ON b.p = q.p",
+        "p8_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 1024",
+        "p8_totals": f"SELECT doc_id, {_TOKENS} AS tokens, ({_TOKENS} + 1023) // 1024 AS pieces FROM documents WHERE {_TOKENS} > 0",
+        "p9_found": f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     }

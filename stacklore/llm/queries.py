@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklore.functions.tables import current_rows, folded, folded_set, read
-from stacklore.llm import cooccurrence, distinctive, frequency, pairs, setjoin
+from stacklore.functions.tables import current_rows, folded, folded_set, read, semi_by_ids
+from stacklore.llm import canonical, cooccurrence, distinctive, frequency, leakage, neardup, packing, pairs, setjoin
 from stacklore.storage import cut
 
 
@@ -51,6 +52,33 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scored.filter(F.col("tfidf") >= share * F.log("n_records") - 1e-9).select("src", "id", "term")
 
 
+def _current_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, text) of the readmes and descriptions of current rows; id is 2 * row_id, + 1 for a description."""
+    raw = read(spark, folder, "github_repos")
+    ids = current_rows(raw.select("name", "collected_at", "row_id")).select("row_id")
+    rows = semi_by_ids(raw.select("row_id", "readme", "description"), ids, "row_id")
+    both = F.array(F.struct((F.col("row_id") * 2).alias("id"), F.col("readme").alias("text")), F.struct((F.col("row_id") * 2 + 1).alias("id"), F.col("description").alias("text")))
+    return rows.select(F.inline(both)).filter(F.col("text").isNotNull())
+
+
+def _field(column):
+    return F.when(column % 2 == 0, "readme").otherwise("description")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    links, members = neardup.near_duplicates(_current_texts(spark, folder), Fraction(1, 2), width=3, least=6)
+    # readmes and descriptions meet only if a readme equals a description or nearly so
+    found = pairs.expand(links, members, []).filter(F.col("id_a") % 2 == F.col("id_b") % 2)
+    return found.select(_field(F.col("id_a")).alias("field"), F.floor(F.col("id_a") / 2).alias("row_id_a"), F.floor(F.col("id_b") / 2).alias("row_id_b"))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The stricter default: five words, similarity 0.8; a row per text with its class and links."""
+    links, members = neardup.near_duplicates(_current_texts(spark, folder))
+    of_class = pairs.class_links(cut(links), members, [])
+    return of_class.select(_field(F.col("id")).alias("field"), F.floor(F.col("id") / 2).alias("row_id"), F.floor(F.col("class_id") / 2).alias("class_id"), "n_copies", "n_links")
+
+
 def _field_values(spark: SparkSession, folder: str) -> DataFrame:
     newest = current_rows(read(spark, folder, "github_repos").select("name", "collected_at", "row_id", "topics", "language"), "topics", "language")
     blank = F.array().cast("array<string>")
@@ -82,5 +110,35 @@ def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.class_links(cut(links), members, ["src"])
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    topics = read(spark, folder, "github_repos").select(F.lit("github_repos").alias("src"), F.col("row_id").alias("id"), F.explode(F.array_distinct("topics")).alias("value"))
+    stacks = read(spark, folder, "repos").select(F.lit("repos").alias("src"), F.col("repo_id").alias("id"), F.explode(F.array_distinct("tech_stack")).alias("value"))
+    return canonical.map_values(topics.unionByName(stacks), read(spark, folder, "tech_vocab"), read(spark, folder, "tech_alias"), ["src", "id"])
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    texts = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), packing.token_count(F.col("text")).alias("size"))
+    return packing.pack(texts, 1024)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    split = _packed(spark, folder).groupBy("id").agg(F.count(F.lit(1)).alias("pieces")).filter(F.col("pieces") > 1)
+    return split.select(F.col("id").alias("doc_id"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The assignment itself, a row per document or piece."""
+    return _packed(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def p8_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens and pieces of every packed document: nothing is lost or doubled."""
+    return _packed(spark, folder).groupBy(F.col("id").alias("doc_id")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "eval_items").select("item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
