@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacklore.functions.tables import current_rows, folded, folded_set, read, semi_by_ids
-from stacklore.llm import canonical, cooccurrence, distinctive, frequency, leakage, neardup, packing, pairs, setjoin
+from stacklore.llm import canonical, cooccurrence, distinctive, frequency, leakage, markup, neardup, packing, pairs, setjoin
 from stacklore.storage import cut
 
 
@@ -79,6 +79,18 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return of_class.select(_field(F.col("id")).alias("field"), F.floor(F.col("id") / 2).alias("row_id"), F.floor(F.col("class_id") / 2).alias("class_id"), "n_copies", "n_links")
 
 
+def _cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_markup(read(spark, folder, "github_repos").select(F.col("row_id").alias("id"), F.col("readme").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cleaned(spark, folder).select(F.col("id").alias("row_id"), F.explode("elements").alias("element"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _cleaned(spark, folder).select(F.col("id").alias("row_id"), F.col("clean").alias("text"))
+
+
 def _field_values(spark: SparkSession, folder: str) -> DataFrame:
     newest = current_rows(read(spark, folder, "github_repos").select("name", "collected_at", "row_id", "topics", "language"), "topics", "language")
     blank = F.array().cast("array<string>")
