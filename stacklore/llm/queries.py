@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stacklore.functions.tables import current_rows, folded, folded_set, read, semi_by_ids
-from stacklore.llm import canonical, cooccurrence, distinctive, frequency, leakage, markup, neardup, packing, pairs, setjoin
+from stacklore.llm import canonical, cooccurrence, distinctive, encoding, frequency, leakage, markup, neardup, packing, pairs, setjoin
 from stacklore.storage import cut
 
 
@@ -152,5 +152,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "eval_items").select("item_id", "text"))
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.repair_encoding(read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder).select(F.col("id").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
