@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.functions.tables import semi_by_ids
+from stacklore.functions.tables import BROADCAST_IDS, semi_by_ids
 from stacklore.llm.wordhash import WordCodes, mix, shingles
 from stacklore.storage import cut
 
@@ -187,8 +187,11 @@ def _blocks(index: DataFrame) -> DataFrame:
     """Adds part and side: large shards are cut, each block meets itself and every other."""
     watched = index.filter(F.pmod(F.xxhash64("id", F.lit("watch")), F.lit(WATCH)) == 0)
     large = watched.groupBy("key").agg((F.count(F.lit(1)) * WATCH).alias("seen")).filter(F.col("seen") > SHARD)
-    large = large.select("key", F.ceil(F.col("seen") / SHARD).cast("int").alias("n"))
-    rows = index.join(large, "key", "left")
+    large = cut(large.select("key", F.ceil(F.col("seen") / SHARD).cast("int").alias("n")))
+    count = large.limit(BROADCAST_IDS + 1).count()
+    if not count:  # no join, so the index is shuffled once
+        return index.select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "id", "code0", "code1")
+    rows = index.join(F.broadcast(large) if count <= BROADCAST_IDS else large, "key", "left")
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("n").cast("bigint")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1),
