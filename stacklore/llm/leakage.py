@@ -84,11 +84,12 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 10) -> DataFram
     """(doc_id, item_id) of documents holding ``passage`` consecutive words of an item, in order.
 
     documents(doc_id bigint, text), items(item_id bigint, text). Null and empty texts and
-    items shorter than a passage match nothing; repeated items are reported each. The
+    items shorter than a passage or without an id match nothing; repeated items are reported
+    each. The
     items go to the tasks in parts of about SHARD_CHARS characters, each searched
     against all documents.
     """
-    texts = items.filter(F.col("text").isNotNull()).select("item_id", "text", F.length("text").alias("n"))
+    texts = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text", F.length("text").alias("n"))
     chars = texts.agg(F.sum("n")).first()[0] or 0
     parts = -(-chars // SHARD_CHARS) or 1
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") > 0)

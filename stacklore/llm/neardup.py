@@ -209,13 +209,14 @@ def near_duplicates(texts: DataFrame, similarity: Fraction = Fraction(4, 5), wid
     """Links between similar texts and the classes of texts with equal sets.
 
     texts(id bigint unique, text). A text of fewer than ``least`` distinct runs of
-    ``width`` words (null and empty ones too) takes no part. Returns links(rep_a, rep_b,
+    ``width`` words (null and empty ones too) or without an id takes no part. Returns links(rep_a, rep_b,
     shared, united) with rep_a < rep_b and shared / united >= ``similarity``, exact, and
     members(id, rep): rep is the least id of the texts with the same set. A pair at the
     threshold meets in a shard with probability 0.95 or more, which rises steeply above.
     """
     size, keys = banding(similarity)
-    sketch = texts.select("id", "text").mapInArrow(_sketcher(width, least, size, keys), "id bigint, low bigint, high bigint, code0 bigint, code1 bigint, keys array<bigint>")
+    texts = texts.select("id", "text").filter(F.col("id").isNotNull())
+    sketch = texts.mapInArrow(_sketcher(width, least, size, keys), "id bigint, low bigint, high bigint, code0 bigint, code1 bigint, keys array<bigint>")
     sketch = cut(sketch)
     copies = sketch.groupBy("low", "high").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     copies = cut(sketch.join(copies, ["low", "high"]).select("id", "rep"))

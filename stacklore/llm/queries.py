@@ -47,7 +47,7 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _distinctive(spark, folder).filter((F.col("df") >= 2) & (F.col("llr") > 0))
+    scored = _distinctive(spark, folder).filter((F.col("df") >= 2) & F.col("llr").isNotNull())
     share = F.when(F.col("src") == "repos", 0.7).otherwise(1.25)
     return scored.filter(F.col("tfidf") >= share * F.log("n_records") - 1e-9).select("src", "id", "term")
 

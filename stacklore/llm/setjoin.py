@@ -35,13 +35,13 @@ def similar_sets(sets: DataFrame, by: list[str], items: str, similarity: Fractio
     """Links between classes of equal sets, and the classes' members.
 
     sets(by, id, items): ``items`` sorted and distinct. Sets of fewer than ``min_size``
-    values do not take part. Returns links(by, rep_a, rep_b, shared, united) with
+    values or without an id do not take part. Returns links(by, rep_a, rep_b, shared, united) with
     shared / united >= ``similarity``, rep_a < rep_b, and members(by, id, rep), where
     rep is the least id of a class. Every pair at the threshold is found. To join two
     tables, give both with a column that tells them apart and keep the links across.
     """
     up, down = similarity.numerator, similarity.denominator
-    rows = sets.filter(F.size(items) >= min_size).select(*by, "id", F.col(items).alias("items"))
+    rows = sets.filter((F.size(items) >= min_size) & F.col("id").isNotNull()).select(*by, "id", F.col(items).alias("items"))
     classes = cut(rows.groupBy(*by, "items").agg(F.min("id").alias("rep")))
     members = rows.join(classes, [*by, "items"]).select(*by, "id", "rep")
 

@@ -117,6 +117,13 @@ def test_similar_sets_equal_brute_force(spark):
     assert classes.count() == sum(bool(r) and len(r) >= 4 for r in rows)
 
 
+def test_rows_without_id(spark):
+    df = spark.createDataFrame([("s", None, list("abcd")), ("s", 1, list("abcd")), ("s", 2, list("abcd"))], "src string, id bigint, items array<string>")
+    links, members = setjoin.similar_sets(df, ["src"], "items")
+    assert [(r["id_a"], r["id_b"]) for r in pairs.expand(links, members, ["src"]).collect()] == [(1, 2)]
+    assert cooccurrence.cooccurrence(df, ["src"], "id", "items", block=2).first()["n_both"] == 3
+
+
 def test_equal_sets_are_one_class(spark):
     rows = [list("abcd")] * 40 + [list("abce")]
     found, classes = linked(spark, rows)

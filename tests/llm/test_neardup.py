@@ -54,6 +54,14 @@ def test_null_empty_short_long_and_copies(spark):
     assert found(spark, [])[0] == set()
 
 
+def test_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(None, text), (None, text), (1, text), (2, text + " x")], "id bigint, text string")
+    links, members = neardup.near_duplicates(df, Fraction(1, 2), 3, 6)
+    assert [(r["rep_a"], r["rep_b"]) for r in links.collect()] == [(1, 2)]
+    assert members.count() == 2
+
+
 def test_large_shards_are_cut_and_nothing_is_lost(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHARD", 20)
     monkeypatch.setattr(neardup, "WATCH", 1)

@@ -127,6 +127,14 @@ def test_leaks(spark, monkeypatch, chars):
     assert leaked(spark, [], [ITEM]) == leaked(spark, docs, []) == []
 
 
+def test_rows_without_id(spark):
+    d = spark.createDataFrame([(None, ITEM), (1, ITEM)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(None, ITEM), (2, ITEM)], "item_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in leakage.leaks(d, q).collect()) == [(0, 2), (1, 2)]
+    rows = packing.pack(spark.createDataFrame([(None, 3), (None, 4), (1, 12)], "id bigint, size bigint"), 10).collect()
+    assert sorted(r["tokens"] for r in rows) == [2, 3, 4, 10]
+
+
 def test_leaks_across_pieces(monkeypatch):
     monkeypatch.setattr(leakage, "PIECE", 16)
     words = ITEM.split()
