@@ -34,10 +34,10 @@ WATCH = 16
 
 
 def banding(similarity: Fraction) -> tuple[int, int]:
-    """(minimum hashes in a key, keys) by which a pair at the threshold shares a shard 19 in 20 times, most others always."""
+    """(minimum hashes in a key, keys) by which a pair at the threshold shares a shard 49 in 50 times, most others always."""
     s = float(similarity)
     size = 3 if s < 0.65 else 4 if s < 0.75 else 5
-    return size, max(8, int(np.ceil(np.log(0.04) / np.log(1 - s**size))))
+    return size, max(8, int(np.ceil(np.log(0.02) / np.log(1 - s**size))))
 
 
 def radius(similarity: Fraction) -> int:
@@ -212,7 +212,7 @@ def near_duplicates(texts: DataFrame, similarity: Fraction = Fraction(4, 5), wid
     ``width`` words (null and empty ones too) or without an id takes no part. Returns links(rep_a, rep_b,
     shared, united) with rep_a < rep_b and shared / united >= ``similarity``, exact, and
     members(id, rep): rep is the least id of the texts with the same set. A pair at the
-    threshold meets in a shard with probability 0.95 or more, which rises steeply above.
+    threshold meets in a shard with probability 0.98 or more, which rises steeply above.
     """
     size, keys = banding(similarity)
     texts = texts.select("id", "text").filter(F.col("id").isNotNull())
