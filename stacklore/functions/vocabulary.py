@@ -43,3 +43,11 @@ def category_rows() -> list[tuple[int, str, str]]:
 def category_prompts() -> list[tuple[int, str, str]]:
     """(position, category, prompt): the text that describes a category to a text model."""
     return [(i, label, f"{label.lower()} repositories about {words}") for i, (label, words) in enumerate(CATEGORIES.items())]
+
+
+# Short codes of labelled data and the categories they stand for.
+CATEGORY_CODES = {
+    "ai_ml": "AI/ML Infrastructure", "web_frontend": "Web Development", "web_backend": "Backend & APIs", "data_science": "Data Science", "devops": "DevOps & Cloud",
+    "mobile": "Mobile Development", "security": "Security", "blockchain": "Blockchain & Web3", "nlp": "Natural Language Processing", "cv": "Computer Vision",
+    "genai": "Generative AI", "database": "Database & Storage", "gamedev": "Game Development",
+}

@@ -114,6 +114,15 @@ def label_means(vectors: DataFrame) -> DataFrame:
     return means.select(F.col("label").cast("int").alias("position"), F.col("label").cast("string").alias("category"), normalize(F.col("vector")).alias("vector"))
 
 
+def expected_categories(raw: DataFrame, codes: dict[str, str] | None = None) -> DataFrame:
+    """(id, category) of raw(id, code): the categories that labelled records should get; other codes are left out."""
+    from stacklore.functions.scalars import mapped
+    from stacklore.functions.vocabulary import CATEGORY_CODES
+
+    codes = CATEGORY_CODES if codes is None else codes
+    return raw.filter(F.col("code").isin(*codes)).select("id", mapped(F.col("code"), codes).alias("category"))
+
+
 def label_accuracy(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     """(accuracy, n) over the ids in both of predicted(id, category) and expected(id, category)."""
     both = predicted.select("id", F.col("category").alias("p")).join(expected.select("id", F.col("category").alias("e")), "id").filter(F.col("e").isNotNull())

@@ -96,8 +96,16 @@ def _rule_ctes(support: float = 0.012, confidence: float = 0.25, lift: float = 1
 _SIDES = "array_to_string(antecedent, ', ') AS antecedent, array_to_string(consequent, ', ') AS consequent"
 
 
-def _pagerank(steps: int) -> str:
-    ctes = [f"{_EDGES}, n AS (SELECT count(*)::DOUBLE AS n FROM counts)"]
+#: The similarity graph of records by name, under the names that the iterations below use.
+_RECORDS = """t AS (SELECT name, tech_stack, row_number() OVER (ORDER BY stars DESC NULLS LAST, name) AS p FROM repos QUALIFY p <= 2500),
+ counts AS (SELECT name AS item FROM t), i AS (SELECT DISTINCT name, p, unnest(tech_stack) AS item FROM t), k AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY item ORDER BY p) <= 250),
+ edges AS MATERIALIZED (SELECT a.name AS source, b.name AS target, count(*) AS weight FROM k a JOIN k b ON a.item = b.item AND a.p < b.p GROUP BY a.name, b.name, a.p, b.p ORDER BY weight DESC, a.p, b.p LIMIT 5000),
+ both_ways AS MATERIALIZED (SELECT source, target, weight::DOUBLE AS weight FROM edges UNION ALL SELECT target, source, weight FROM edges),
+ degree AS (SELECT source AS id, sum(weight) AS degree FROM both_ways GROUP BY 1)"""
+
+
+def _pagerank(steps: int, edges: str = _EDGES) -> str:
+    ctes = [f"{edges}, n AS (SELECT count(*)::DOUBLE AS n FROM counts)"]
     ctes.append("shares AS MATERIALIZED (SELECT source, target, weight / degree AS share FROM both_ways JOIN degree ON id = source)")
     ctes.append("r0 AS MATERIALIZED (SELECT item AS id, degree IS NULL AS dangling, 1.0 / n AS rank FROM counts LEFT JOIN degree ON id = item, n)")
     for i in range(1, steps + 1):
@@ -107,8 +115,8 @@ def _pagerank(steps: int) -> str:
     return "WITH " + ",\n ".join(ctes) + f" SELECT id, round(rank, 8) AS pagerank FROM r{steps}"
 
 
-def _hits(steps: int) -> str:
-    ctes = [_EDGES, "h0 AS MATERIALIZED (SELECT item AS id, 1.0::DOUBLE AS v FROM counts)"]
+def _hits(steps: int, edges: str = _EDGES) -> str:
+    ctes = [edges, "h0 AS MATERIALIZED (SELECT item AS id, 1.0::DOUBLE AS v FROM counts)"]
 
     def pull(new: str, old: str) -> str:
         return f"""s{new} AS MATERIALIZED (SELECT item AS id, coalesce(s, 0) AS s FROM counts LEFT JOIN (SELECT target, sum(v * weight) AS s FROM both_ways JOIN {old} ON id = source GROUP BY 1) ON target = item),
@@ -215,6 +223,7 @@ FROM rules WHERE list_contains(antecedent, 'data-pipeline') ORDER BY lift DESC,
         "fpgrowth_itemsets": f"""WITH {_itemsets(0.02, 6)} SELECT array_to_string(items, ', ') AS items, size, count, round(count::DOUBLE / n, 8) AS support FROM sets, least ORDER BY count DESC, size, sets.items LIMIT 15""",
         "pagerank": _pagerank(steps[0]),
         "hits": _hits(steps[1]),
+        "repository_influence": f"SELECT * FROM ({_pagerank(60, _RECORDS)}) JOIN ({_hits(40, _RECORDS)}) USING (id)",
         "keyword_communities": f"""WITH {_TX}, k(p, k) AS (VALUES {keywords}), v AS (SELECT item, {normal} AS n0 FROM counts), m AS (SELECT item, coalesce({_ALIAS}[n0], n0) AS n FROM v)
 SELECT item AS id, coalesce(min(p), 13) AS community FROM m LEFT JOIN k ON contains(n, k) OR contains(k, n) GROUP BY 1""",
         "induced_subgraph": f"""WITH {_EDGES}, t AS (SELECT id FROM graph_nodes ORDER BY pagerank DESC, count DESC, id LIMIT 40)

@@ -42,6 +42,25 @@ def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: in
         labels = bert_embed(prompts.select(F.col("position").cast("bigint").alias("id"), "text"), weights, vocabulary, length=length, batch=batch)
         labels = labels.join(prompts, F.col("id") == F.col("position")).select("position", "category", "vector")
         return vectors, semantic.vector_scores(vectors, labels)
+    if method.startswith("sentence-transformers:"):  # an optional library
+        import pyarrow as pa
+
+        from stacklore.functions.vocabulary import category_prompts
+
+        name = method.split(":", 1)[1]
+
+        def encode(batches):
+            from sentence_transformers import SentenceTransformer
+
+            model = SentenceTransformer(name)
+            for b in batches:
+                found = model.encode([t or "" for t in b.column(1).to_pylist()], batch_size=batch, normalize_embeddings=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.tolist(), pa.list_(pa.float32()))], names=["id", "vector"])
+
+        prompts = spark.createDataFrame(category_prompts(), "position int, category string, text string")
+        labels = prompts.select(F.col("position").cast("bigint").alias("id"), "text").mapInArrow(encode, "id bigint, vector array<float>")
+        vectors = cut(docs.select("id", "text").mapInArrow(encode, "id bigint, vector array<float>"))
+        return vectors, semantic.vector_scores(vectors, labels.join(prompts, F.col("id") == F.col("position")).select("position", "category", "vector"))
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -119,7 +138,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--out", required=True, help="local folder for the results")
     for flag, kind, default in (("min-support", float, 0.012), ("min-confidence", float, 0.25), ("min-lift", float, 1.1), ("max-itemset", int, 3), ("max-features", int, 12_000), ("svd-dims", int, 96), ("clusters", int, 13), ("neighbors", int, 8)):
         p.add_argument(f"--{flag}", type=kind, default=default)
-    p.add_argument("--method", default="tfidf", choices=("tfidf", "bert"))
+    p.add_argument("--method", default="tfidf", help="tfidf, bert, or sentence-transformers:NAME")
     p.add_argument("--weights")
     p.add_argument("--vocabulary")
     p.add_argument("--length", type=int, default=96)

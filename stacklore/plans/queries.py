@@ -70,6 +70,15 @@ def basket_similarity_graph(spark, folder):
     return transactions.basket_similarity_graph(read(spark, folder, "repos"), "repo_id", "tech_stack", "stars")
 
 
+def repository_influence(spark, folder):
+    """PageRank and HITS of the records in their similarity graph."""
+    repos = read(spark, folder, "repos")
+    edges = transactions.basket_similarity_graph(repos, "name", "tech_stack", "stars")
+    nodes = repos.orderBy(F.desc_nulls_last("stars"), "name").limit(2500).select(F.col("name").alias("id"))
+    both = graph.pagerank(nodes, edges, iterations=60).join(graph.hits(nodes, edges, iterations=40), "id")
+    return both.select("id", F.round("pagerank", 8).alias("pagerank"), F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
+
+
 def clean_documents(spark, folder):
     return read(spark, folder, "documents").select("doc_id", S.clean_text(F.col("text")).alias("clean"))
 
@@ -215,6 +224,10 @@ def systematic_sample(spark, folder):
     return explorer.systematic_sample(read(spark, folder, "repos").select("repo_id", "pca_x", "pca_y", "cluster_id"), ["repo_id"], 420)
 
 
+def random_sample(spark, folder):
+    return explorer.random_sample(read(spark, folder, "repos"), "repo_id", 10).select("repo_id", "name")
+
+
 def top_repositories(spark, folder):
     return explorer.top_repositories(read(spark, folder, "repos"))
 

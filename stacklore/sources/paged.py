@@ -12,13 +12,27 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Star ranges that split a topic's results, and queries without a topic.
-STARS = ("stars:>=10000", "stars:5000..9999", "stars:1000..4999", "stars:300..999", "stars:50..299")
+from stacklore.operators.cleaning import flatten_record, upsert
+from stacklore.storage import cut
+
+# Topics, the star ranges that split a topic's results, and queries without a topic.
+TOPICS = (
+    "machine-learning", "deep-learning", "artificial-intelligence", "nlp", "computer-vision", "generative-ai", "llm", "data-science", "react", "vue", "angular",
+    "nextjs", "typescript", "javascript", "python", "go", "rust", "java", "flutter", "react-native", "android", "ios", "devops", "docker", "kubernetes", "terraform",
+    "security", "blockchain", "web3", "database", "postgresql", "redis", "game-development",
+)
+STARS = ("stars:100..499", "stars:500..999", "stars:1000..4999", "stars:5000..19999", "stars:>=20000")
+PLAIN = (
+    "stars:>=100000", "stars:50000..99999", "stars:20000..49999", "language:Python stars:1000..20000", "language:JavaScript stars:1000..20000",
+    "language:TypeScript stars:1000..20000", "language:Go stars:1000..20000", "language:Rust stars:1000..20000",
+)
 SCHEMA = (
     "full_name string, stargazers_count bigint, forks_count bigint, watchers_count bigint, open_issues_count bigint, size bigint, language string, "
     "topics array<string>, description string, homepage string, created_at string, updated_at string, pushed_at string, license struct<spdx_id: string>, "
@@ -26,8 +40,8 @@ SCHEMA = (
 )
 
 
-def query_plan(topics: Iterable[str], stars: Iterable[str] = STARS, fixed: Iterable[str] = ()) -> list[str]:
-    """Each topic with each star range, then the fixed queries."""
+def query_plan(topics: Iterable[str] = TOPICS, stars: Iterable[str] = STARS, fixed: Iterable[str] = PLAIN) -> list[str]:
+    """Each topic with each star range, then the fixed queries: 173 shards by default."""
     stars = list(stars)
     return [f"topic:{t} {s}" for t in topics for s in stars] + list(fixed)
 
@@ -56,6 +70,20 @@ def request_json(url: str, token: str | None = None, sleep=time.sleep, clock=tim
             sleep(max(5, int(reset) - clock() + 3) if reset else 60)
 
 
+def request_with_retries(url: str, token: str | None = None, attempts: int = 5, sleep=time.sleep, opener=urllib.request.urlopen) -> dict:
+    """One page; asks up to ``attempts`` times, waiting 5 s (rate limit) or 3 s (5xx) doubled each time, at most 60 s."""
+    headers = {"Accept": "application/json", **({"Authorization": f"Bearer {token}"} if token else {})}
+    for attempt in range(attempts):
+        try:
+            with opener(urllib.request.Request(url, headers=headers)) as reply:
+                return json.loads(reply.read())
+        except urllib.error.HTTPError as e:
+            if attempt == attempts - 1 or not (e.code in (403, 429) or e.code >= 500):
+                raise
+            sleep(min(60, 2**attempt * (3 if e.code >= 500 else 5)))
+    raise ValueError("no attempts")
+
+
 class Shard(InputPartition):
     def __init__(self, query: str, number: int):
         self.query, self.number = query, number
@@ -106,3 +134,53 @@ class PagedSearch(DataSource):
 
     def reader(self, schema):
         return _Reader(dict(self.options), schema.fieldNames())
+
+
+def search(spark: SparkSession, url: str, queries: list[str], per_query: int = 900, token: str | None = None) -> DataFrame:
+    """Flat records of all queries, a partition per query, with their place in ``seq``."""
+    spark.dataSource.register(PagedSearch)
+    options = {"url": url, "queries": json.dumps(queries), "perQuery": str(per_query), **({"token": token} if token else {})}
+    rows = flatten_record(spark.read.format("paged_search").options(**options).load())
+    return rows.filter(F.col("name") != "").withColumn("seq", F.monotonically_increasing_id())
+
+
+def collect(spark: SparkSession, url: str, queries: list[str], target: int = 30_000, per_query: int = 900, at_once: int = 1, existing: DataFrame | None = None, token: str | None = None) -> DataFrame:
+    """Records by name, of equal names the last; stops asking when ``target`` names are there.
+
+    ``at_once`` shards are asked in parallel between two looks at the number of names. The
+    table is written at every look, so a run that breaks off can go on from it with
+    ``existing``.
+    """
+    table = existing
+    for at in range(0, len(queries), at_once):
+        if table is not None and table.count() >= target:
+            break
+        new = cut(search(spark, url, queries[at : at + at_once], per_query, token))
+        table = cut(upsert(new.limit(0) if table is None else table, new, "name", "seq"))
+    return table if table is not None else search(spark, url, [], per_query, token).limit(0)
+
+
+def with_readmes(repos: DataFrame, fetch: Callable[[str], str], top: int = 1500) -> DataFrame:
+    """Fills the empty readmes of the ``top`` records by stars with what ``fetch`` gives for their name, '' where it fails."""
+    wanted = repos.orderBy(F.desc_nulls_last("stars"), "name").limit(top).filter(F.coalesce("readme", F.lit("")) == "").select("name")
+
+    def load(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    texts.append(fetch(name))
+                except Exception:  # any failure means no readme
+                    texts.append("")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["name", "__readme"])
+
+    got = cut(wanted.mapInArrow(load, "name string, __readme string"))
+    return repos.join(got, "name", "left").withColumn("readme", F.coalesce("__readme", "readme")).drop("__readme").select(repos.columns)
+
+
+def languages_by_bytes(sizes: Column) -> Column:
+    """The keys of a map language -> bytes, the largest first, ties by name."""
+    pairs = F.transform(F.map_entries(sizes), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k")))
+    return F.transform(F.array_sort(pairs), lambda e: e["k"])

@@ -73,6 +73,15 @@ def test_clusters_and_projection(spark):
     assert one == {0: (-1.0, 0.0), 1: (1.0, 0.0)}
 
 
+def test_label_evaluation(spark):
+    raw = spark.createDataFrame([(1, "cv"), (2, "nlp"), (3, "odd"), (4, None)], "id bigint, code string")
+    expected = semantic.expected_categories(raw)
+    assert {(r["id"], r["category"]) for r in expected.collect()} == {(1, "Computer Vision"), (2, "Natural Language Processing")}
+    predicted = spark.createDataFrame([(1, "Computer Vision"), (2, "Security"), (9, "x")], "id bigint, category string")
+    assert tuple(semantic.label_accuracy(predicted, expected).first()) == (0.5, 2)
+    assert {tuple(r) for r in semantic.confusion_matrix(predicted, expected).collect()} == {("Computer Vision", "Computer Vision", 1), ("Natural Language Processing", "Security", 1)}
+
+
 def test_word_pieces():
     pieces = bert.WordPieces(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "play", "##ing", "##s", ",", "cafe"])
     assert pieces.words("Café, PLAYING!") == ["cafe", ",", "playing", "!"]

@@ -41,9 +41,9 @@ def test_decode_readme(spark):
 
 
 def test_query_plan():
-    plan = paged.query_plan([f"t{i}" for i in range(33)], fixed=["f"] * 8)
-    assert len(plan) == 173
-    assert plan[:2] == ["topic:t0 stars:>=10000", "topic:t0 stars:5000..9999"]
+    plan = paged.query_plan()
+    assert len(plan) == len(set(plan)) == 173
+    assert plan[:2] == ["topic:machine-learning stars:100..499", "topic:machine-learning stars:500..999"]
     assert [paged.pages(n) for n in (1, 100, 101, 9999)] == [1, 1, 2, 10]
 
 
@@ -81,6 +81,43 @@ def test_paged_source(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 2
 
 
+def test_collect_until_the_target(spark, tmp_path):
+    for shard, names in enumerate((["a/b", "c/d"], ["a/b", "e/f"], ["unseen"])):
+        (tmp_path / str(shard)).mkdir()
+        (tmp_path / str(shard) / "1.json").write_text(json.dumps({"items": [{"full_name": n, "stargazers_count": shard} for n in names]}))
+    # shards are numbered anew in each request, so all are asked at once here
+    table = paged.collect(spark, f"file://{tmp_path}", ["q", "r"], target=3, at_once=2)
+    assert {(r["name"], r["stars"]) for r in table.collect()} == {("a/b", 1), ("c/d", 0), ("e/f", 1)}
+    again = paged.collect(spark, f"file://{tmp_path}", ["q", "r", "s"], target=3, existing=table)
+    assert again.count() == 3
+
+    def fetch(name):
+        if name == "c/d":
+            raise OSError
+        return f"readme of {name}"
+
+    got = {r["name"]: r["readme"] for r in paged.with_readmes(table, fetch, 3).collect()}
+    assert got == {"a/b": "readme of a/b", "c/d": "", "e/f": "readme of e/f"}
+
+
+def test_retries_and_languages(spark):
+    codes = [500, 429, 200]
+    slept = []
+
+    def opener(request):
+        if (code := codes.pop(0)) != 200:
+            raise urllib.error.HTTPError(request.full_url, code, "", {}, None)
+        return io.BytesIO(b"{}")
+
+    assert paged.request_with_retries("http://a.example", sleep=slept.append, opener=opener) == {}
+    assert slept == [3, 10]
+    codes[:] = [404]
+    with pytest.raises(urllib.error.HTTPError):
+        paged.request_with_retries("http://a.example", opener=opener)
+    df = spark.createDataFrame([({"Go": 5, "C": 9, "Ada": 5},)], "m map<string, bigint>")
+    assert df.select(paged.languages_by_bytes(F.col("m"))).first()[0] == ["C", "Ada", "Go"]
+
+
 def test_streamed_collection(spark, tmp_path):
     kind = "name string, row_id bigint, stars bigint"
     for rows in ([("a", 1, 1), ("b", 2, 2), ("a", 3, 3)], [("b", 4, 9), ("c", 5, 5)]):
