@@ -60,12 +60,12 @@ _LINK = re.compile(
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|\{\{(?P<template>[^{}]*)\}\}"
-    r"|(?<!`)(?P<tick>`+)(?!`)(?P<ticked>[^`\n]+)(?<!`)(?P=tick)(?!`)"
-    r"|\*\*(?=[^\s*])(?P<strong>[^*]*?[^\s*])\*\*"
-    r"|(?<![\w*])\*(?=[^\s*])(?P<em>[^*\n]*?[^\s*])\*(?![\w*])"
-    r"|(?<!\w)__(?=[^\s_])(?P<under2>[^\n]*?[^\s_])__(?!\w)"
-    r"|(?<!\w)_(?=[^\s_])(?P<under>[^_\n]*?[^\s_])_(?!\w)"
-    r"|~~(?=[^\s~])(?P<strike>[^~]*?[^\s~])~~"
+    r"|(?<![`\\])(?P<tick>`+)(?!`)(?P<ticked>[^`\n]+)(?<!`)(?P=tick)(?!`)"
+    r"|(?<!\\)\*\*(?=[^\s*])(?P<strong>[^*]*?[^\s*])\*\*"
+    r"|(?<![\w*\\])\*(?=[^\s*])(?P<em>[^*\n]*?[^\s*])\*(?![\w*])"
+    r"|(?<![\w\\])__(?=[^\s_])(?P<under2>[^\n]*?[^\s_])__(?!\w)"
+    r"|(?<![\w\\])_(?=[^\s_])(?P<under>[^_\n]*?[^\s_])_(?!\w)"
+    r"|(?<!\\)~~(?=[^\s~])(?P<strike>[^~]*?[^\s~])~~"
     r"|'''(?=[^\s'])(?P<bold>[^\n]*?[^\s'])'''|(?<!')''(?=[^\s'])(?P<italic>[^\n]*?[^\s'])''(?!')"
     r"|\\(?!(?:sub)*section\b|paragraph\b|chapter\b|item\b|begin\b|end\b|href\b|url\b|includegraphics\b)(?P<command>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{(?P<argument>[^{}\n]*)\}"
     r"|&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});",

@@ -55,6 +55,7 @@ def elements(text):
         ("More at https://a.example/x if you like.", set()),
         ("The plan is $5 or $7. Match *.log and *.tmp, then 2 * 3 * 4. C:\\temp\\x, old_a_name, row[0] (not row(0)).", set()),
         ("If a == b, 42 % of R&D, 4 < x and y > 5; {x, y} and (a | b).", set()),
+        ("Escaped \\*stars\\* and \\_lines\\_ stay.", set()),
         ("The layout is:\n├── a\n│   └── b", set()),
         ("", set()),
         (None, set()),

@@ -164,7 +164,7 @@ def test_restored_exactly(spark, read, written):
     assert all(r["complete"] for r in got.values())
 
 
-@pytest.mark.parametrize(("read", "written", "text"), [("mac_roman", "cp1252", 2), ("cp1252", "cp1251", 3), ("cp1251", "koi8_r", 3)])
+@pytest.mark.parametrize(("read", "written", "text"), [("mac_roman", "cp1252", 2), ("cp1252", "cp1251", 3), ("cp1251", "koi8_r", 3), ("latin-1", "cp1252", 4)])
 def test_one_byte_encodings(spark, read, written, text):
     got = repaired(spark, [CLEAN[text].encode(written).decode(read)])
     assert got[0]["restored"] == CLEAN[text]
