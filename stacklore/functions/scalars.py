@@ -44,13 +44,17 @@ def mapped(column: Column, names: Mapping[str, str]) -> Column:
 
 def norm_topic(column: Column, aliases: Mapping[str, str] = ALIASES) -> Column:
     """Lower case, trimmed, with - for _ and for runs of white space, then its alias's entry."""
-    value = F.regexp_replace(F.replace(strip(F.lower(column)), F.lit("_"), F.lit("-")), f"[{SPACE}]+", "-")
-    return mapped(value, aliases)
+    return mapped(_plain_topic(column), aliases)
+
+
+def _plain_topic(column: Column) -> Column:
+    return F.regexp_replace(F.replace(strip(F.lower(column)), F.lit("_"), F.lit("-")), f"[{SPACE}]+", "-")
 
 
 def normalize_topics(column: Column, aliases: Mapping[str, str] = ALIASES, stopwords: Iterable[str] = STOPWORDS) -> Column:
     """Sorted distinct topics of an array; without null, stop words and those of up to 2 characters. [] for null."""
-    values = F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda t: norm_topic(t, aliases))
+    plain = F.transform(F.coalesce(column, F.array().cast("array<string>")), _plain_topic)
+    values = F.transform(plain, lambda t: mapped(t, aliases))  # apart, so that each value is worked out once
     keep = F.filter(values, lambda t: t.isNotNull() & (F.length(t) > 2) & ~t.isin(*stopwords))
     return F.array_sort(F.array_distinct(keep))
 
