@@ -41,12 +41,13 @@ _CODE = re.compile(
 )
 _FORMULA = re.compile(
     r"\$\$(?P<dollar>[^$]+?)\$\$"
-    r"|\\\[(?P<square>.+?)\\\]|\\\((?P<round>.+?)\\\)"
+    r"|\\\[(?P<square>(?:(?!\\[\[\]]).)+)\\\]|\\\((?P<round>(?:(?!\\[()]).)+)\\\)"
     r"|\\begin\{(?P<env>equation|align|gather|multline|eqnarray|displaymath|math)(?P<star>\*?)\}(?P<inside>.*?)(?:\\end\{(?P=env)(?P=star)\}|\Z)"
     r"|<math\b[^>]*>(?P<math>.*?)(?:</math\s*>|\Z)"
     r"|(?<![\\$\w])\$(?=[^\s$])(?P<one>[^$\n]*?[^\s$\\])\$(?![\d$])",
     re.S | re.I,
 )
+# Bodies stop at a second opening mark, so that unclosed marks do not make the search quadratic.
 _LINK = re.compile(
     r"!?\[(?P<text>[^\[\]\n]*)\](?:\([^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?:\s+[^()\n]*)?\)|\[[^\[\]\n]*\])"
     r"|\[\[(?:[^\[\]|\n]*\|)*(?P<wiki>[^\[\]|\n]+)\]\]"
@@ -63,10 +64,10 @@ _MARK = re.compile(
     r"|(?<![`\\])(?P<tick>`+)(?!`)(?P<ticked>[^`\n]+)(?<!`)(?P=tick)(?!`)"
     r"|(?<!\\)\*\*(?=[^\s*])(?P<strong>[^*]*?[^\s*])\*\*"
     r"|(?<![\w*\\])\*(?=[^\s*])(?P<em>[^*\n]*?[^\s*])\*(?![\w*])"
-    r"|(?<![\w\\])__(?=[^\s_])(?P<under2>[^\n]*?[^\s_])__(?!\w)"
+    r"|(?<![\w\\])__(?=[^\s_])(?P<under2>(?:(?!__)[^\n])*?[^\s_])__(?!\w)"
     r"|(?<![\w\\])_(?=[^\s_])(?P<under>[^_\n]*?[^\s_])_(?!\w)"
     r"|(?<!\\)~~(?=[^\s~])(?P<strike>[^~]*?[^\s~])~~"
-    r"|'''(?=[^\s'])(?P<bold>[^\n]*?[^\s'])'''|(?<!')''(?=[^\s'])(?P<italic>[^\n]*?[^\s'])''(?!')"
+    r"|'''(?=[^\s'])(?P<bold>(?:(?!''')[^\n])*?[^\s'])'''|(?<!')''(?=[^\s'])(?P<italic>(?:(?!'')[^\n])*?[^\s'])''(?!')"
     r"|\\(?!(?:sub)*section\b|paragraph\b|chapter\b|item\b|begin\b|end\b|href\b|url\b|includegraphics\b)(?P<command>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{(?P<argument>[^{}\n]*)\}"
     r"|&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});",
     re.S,

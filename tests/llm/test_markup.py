@@ -121,3 +121,12 @@ def test_operator(spark):
     got = sorted((r["id"], r["clean"], r["elements"]) for r in markup.clean_markup(df).collect() if r["id"] != 2)
     assert got == [(1, "# A", ["heading"]), (1, "# A", ["heading"]), (3, "", [])]
     assert markup.clean_markup(df).filter("id = 2").first()["clean"] is None
+
+
+@pytest.mark.parametrize("mark", ["\\[ ", "\\( ", "''a ", "__a ", "**a ", "[[", "<!--", "`a", "{{", "<p ", "\\begin{equation}", "$$ ", "![", "~~a "])
+def test_unclosed_marks_do_not_take_quadratic_time(mark):
+    import time
+
+    began = time.process_time()
+    markup.clean([mark * 20_000])
+    assert time.process_time() - began < 2
