@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Items of a shard, on average.
 SHARD = 20_000
 #: Runs of word characters, and runs of other characters except space and \\t\\n\\r\\f\\v.
-_TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f\\x0B]+"
+_TOKEN = "\\w+|[^\\w \\t\\n\\r\\f\\x0B]+"  # \\w is ASCII here and, unlike its ranges, matched fast
 
 
 def token_count(text: Column) -> Column:
