@@ -188,6 +188,10 @@ def test_sound_texts_are_left_alone(spark):
     assert repaired(spark, sound) == {}
 
 
+def test_a_long_run_without_spaces(spark):
+    assert repaired(spark, ["x" * 2_000_000 + " é", "é" * 100_000]) == {}
+
+
 def test_a_damaged_part_and_a_long_text(spark):
     back = {b: c for c, b in encoding._table("cp1252").items()}
     bad = "".join(back[b] for b in "prêtes".encode())
