@@ -54,8 +54,7 @@ def preprocess(raw: DataFrame, order: str, aliases: Mapping[str, str] = ALIASES,
     Accepts the alternative columns full_name, readme_snippet, stargazers_count,
     forks_count, watchers_count, open_issues_count and source; other columns pass through.
     Rows without a name are dropped. Blank texts, 0 and null count as missing.
-    ``description_limit`` and ``readme_limit`` cut the cleaned texts; the command-line
-    pipeline this stands in for used 600 and 1800.
+    ``description_limit`` and ``readme_limit`` cut the cleaned texts; None takes them whole.
     """
 
     def text(*names: str):
