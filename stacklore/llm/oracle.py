@@ -68,6 +68,7 @@ _GRAMS = """dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') A
 def sql() -> dict[str, str]:
     return {
         "p1_pairs": f"WITH {_PAIRS} SELECT src, item_a, item_b, c AS n_both, ca AS n_a, cb AS n_b, n AS n_baskets, round(c::DOUBLE * n / (ca::DOUBLE * cb), 6) AS lift FROM scored WHERE c >= 2",
+        "p1_all_pairs": f"WITH {_PAIRS} SELECT src, item_a, item_b, c AS n_both, ca AS n_a, cb AS n_b, n AS n_baskets, round(c::DOUBLE * n / (ca::DOUBLE * cb), 6) AS lift FROM scored",
         "p1_found": f"WITH {_PAIRS} SELECT src, item_a, item_b FROM scored WHERE c >= greatest(4, ceil(n * 4 / 1000)) AND c * n >= 3 * ca * cb",
         "p2_scores": f"WITH {_TERMS} SELECT src, id, term, tf, df, cf, round(CASE WHEN tf * total >= size * cf THEN 1 ELSE -1 END * {_LLR}, 4) + 0.0 AS llr, round(tfidf, 4) AS tfidf FROM s",
         "p2_found": f"WITH {_TERMS} SELECT src, id, term FROM s WHERE df >= 2 AND tfidf >= CASE src WHEN 'repos' THEN 0.7 ELSE 1.25 END * ln(n) - 1e-9",

@@ -21,11 +21,20 @@ def tag_sets(spark: SparkSession, folder: str) -> DataFrame:
     return topics.unionByName(stacks)
 
 
-def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    scored = cooccurrence.cooccurrence(tag_sets(spark, folder), ["src"], "id", "items", min_count=2)
+def _pairs(spark: SparkSession, folder: str, min_count: int) -> DataFrame:
+    scored = cooccurrence.cooccurrence(tag_sets(spark, folder), ["src"], "id", "items", min_count=min_count)
     return scored.select("src", "item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
 
 
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs that occur at least twice; p1_all_pairs has all."""
+    return _pairs(spark, folder, 2)
+
+
+def p1_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder, 1)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     scored = cooccurrence.cooccurrence(tag_sets(spark, folder), ["src"], "id", "items", min_count=4, min_share=0.0)
     enough = F.col("n_both") * 250 >= F.col("n_baskets")  # c >= ceil(0.004 N)

@@ -9,7 +9,7 @@ from math import log
 import numpy as np
 import pytest
 
-from stacklore.llm import cooccurrence, distinctive, frequency, pairs, setjoin
+from stacklore.llm import cooccurrence, distinctive, frequency, pairs, queries, setjoin
 
 
 def sets(spark, rows, src="s"):
@@ -131,3 +131,11 @@ def test_equal_sets_are_one_class(spark):
     got = {r["id"]: r for r in classes.collect()}
     assert (got[7]["class_id"], got[7]["n_copies"], got[7]["n_links"], got[40]["n_links"]) == (0, 40, 1, 1)
     assert linked(spark, [])[0] == set()
+
+
+def test_pairs_seen_once_are_in_the_result(spark, tmp_path):
+    raw = spark.createDataFrame([("r", None, 1, ["a", "b"]), ("s", None, 2, ["b", "c"]), ("t", None, 3, ["B ", "c"])], "name string, collected_at timestamp, row_id bigint, topics array<string>")
+    raw.write.parquet(str(tmp_path / "github_repos.parquet"))
+    spark.createDataFrame([(1, ["x", "y"])], "repo_id bigint, tech_stack array<string>").write.parquet(str(tmp_path / "repos.parquet"))
+    got = {(r["src"], r["item_a"], r["item_b"], r["n_both"], r["lift"]) for r in queries.p1_all_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("github_repos", "a", "b", 1, 1.0), ("github_repos", "b", "c", 2, 1.0), ("repos", "x", "y", 1, 1.0)}
