@@ -64,11 +64,14 @@ def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: in
     raise ValueError(f"unknown method {method!r}")
 
 
-def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", min_support: float = 0.012, min_confidence: float = 0.25, min_lift: float = 1.1, max_itemset: int = 3, max_features: int = 12_000, svd_dims: int = 96, clusters: int = 13, neighbors: int = 8, **model) -> dict:
-    """Writes repos, graph_nodes, graph_edges, association_rules, similarities and stats as JSON, and a report; returns the stats."""
+def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", min_support: float = 0.012, min_confidence: float = 0.25, min_lift: float = 1.1, max_itemset: int = 3, max_features: int = 12_000, svd_dims: int = 96, clusters: int = 13, neighbors: int = 8, description_limit: int | None = None, readme_limit: int | None = None, **model) -> dict:
+    """Writes repos, graph_nodes, graph_edges, association_rules, similarities and stats as JSON, and a report; returns the stats.
+
+    Texts are taken whole unless ``description_limit`` or ``readme_limit`` is given.
+    """
     started = time.time()
     ids = F.xxhash64("name")
-    repos = cut(cleaning.preprocess(raw, order, description_limit=600, readme_limit=1800).withColumn("id", ids))
+    repos = cut(cleaning.preprocess(raw, order, description_limit=description_limit, readme_limit=readme_limit).withColumn("id", ids))
 
     tx = cut(transactions.transactions(repos, "id", "tech_stack"))
     # heaviest edges first, of equals those of the record that came first
@@ -138,6 +141,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--out", required=True, help="local folder for the results")
     for flag, kind, default in (("min-support", float, 0.012), ("min-confidence", float, 0.25), ("min-lift", float, 1.1), ("max-itemset", int, 3), ("max-features", int, 12_000), ("svd-dims", int, 96), ("clusters", int, 13), ("neighbors", int, 8)):
         p.add_argument(f"--{flag}", type=kind, default=default)
+    p.add_argument("--description-limit", type=int, help="characters of a cleaned description, default all; the original takes 600")
+    p.add_argument("--readme-limit", type=int, help="characters of a cleaned readme, default all; the original takes 1800")
     p.add_argument("--method", default="tfidf", help="tfidf, bert, or sentence-transformers:NAME")
     p.add_argument("--weights")
     p.add_argument("--vocabulary")

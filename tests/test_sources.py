@@ -143,3 +143,20 @@ def test_whole_pipeline(spark, tmp_path):
     assert "Association rules" in (tmp_path / "out/project_report.md").read_text()
     with pytest.raises(ValueError, match="weights"):
         pipeline.embed(spark.createDataFrame([(1, "x")], "id bigint, text string"), "bert")
+
+
+def test_pipeline_takes_whole_texts(spark, tmp_path, monkeypatch):
+    raw = [{"name": f"o/r{i}", "stars": i, "language": "Go", "topics": ["docker", "helm"], "description": "short", "readme": "filler " * 400 + "farend", "created_at": "2020-01-01"} for i in range(6)]
+    (tmp_path / "raw.json").write_text(json.dumps(raw))
+    seen = []
+
+    def embed(docs, **options):
+        seen.append([r["text"] for r in docs.collect()])
+        raise InterruptedError
+
+    monkeypatch.setattr(pipeline, "embed", embed)
+    for limits in ({}, {"readme_limit": 1800}):
+        with pytest.raises(InterruptedError):
+            pipeline.run(spark, files.read_json_array(spark, str(tmp_path / "raw.json")), str(tmp_path / "out"), **limits)
+    assert all("farend" in t for t in seen[0]) and len(seen[0]) == 6
+    assert not any("farend" in t for t in seen[1])
