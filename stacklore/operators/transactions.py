@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stacklore.functions.tables import HOT_KEYS
 from stacklore.storage import cut
 
 
@@ -56,18 +57,34 @@ def strongest_relations(edges: DataFrame, n: int = 25) -> DataFrame:
     return top_edges(edges, n).withColumn("relation", F.concat_ws(" + ", "source", "target"))
 
 
-def basket_similarity_graph(df: DataFrame, id_col: str, items: str, order: str, top: int = 2500, per_item: int = 250, edges: int = 5000) -> DataFrame:
+#: Records of an item that meet in one task where no limit is set.
+RECORD_BLOCK = 2000
+
+
+def basket_similarity_graph(df: DataFrame, id_col: str, items: str, order: str, top: int | None = 2500, per_item: int | None = 250, edges: int | None = 5000) -> DataFrame:
     """Records linked by shared items: (source, target, weight), the heaviest ``edges`` pairs.
 
     The ``top`` records by ``order`` take part, and of each item its ``per_item`` first by
-    ``order``: these limits are the feature. Ties go by id; the source comes before the target.
+    ``order``: these limits are for drawing, None lifts them. Ties go by id; the source comes
+    before the target. The records of an item meet in blocks of about RECORD_BLOCK.
     """
-    rows = df.orderBy(F.desc_nulls_last(order), id_col).limit(top).select(F.col(id_col).alias("id"), F.col(order).alias("o"), F.col(items).alias("items"))
-    by_order = Window.orderBy(F.desc_nulls_last("o"), "id")  # over at most ``top`` rows
-    placed = rows.withColumn("place", F.row_number().over(by_order))  # before the arrays are opened
-    rows = placed.select("id", "place", F.explode(F.array_distinct("items")).alias("item"))
-    kept = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("place"))).filter(F.col("r") <= per_item).drop("r"))
-    a = kept.select("item", F.col("id").alias("source"), F.col("place").alias("p"))
-    b = kept.select("item", F.col("id").alias("target"), F.col("place").alias("q"))
-    pairs = a.join(b, "item").filter(F.col("p") < F.col("q")).groupBy("source", "target", "p", "q").agg(F.count(F.lit(1)).alias("weight"))
-    return pairs.orderBy(F.desc("weight"), "p", "q").limit(edges).select("source", "target", "weight")
+    rows = df.select(F.col(id_col).alias("id"), F.col(order).alias("o"), F.col(items).alias("items"))
+    if top is not None:
+        rows = rows.orderBy(F.desc_nulls_last("o"), "id").limit(top)
+    place = F.struct(F.col("o").isNull().alias("missing"), (-F.col("o")).alias("o"), "id")
+    kept = rows.select("id", place.alias("place"), F.explode(F.array_distinct("items")).alias("item")).filter(F.col("item").isNotNull())
+    if per_item is not None:
+        kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("place"))).filter(F.col("r") <= per_item).drop("r")
+    kept = cut(kept)
+    blocks = kept.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RECORD_BLOCK).select("item", F.ceil(F.col("n") / RECORD_BLOCK).cast("int").alias("blocks"), "n")
+    kept = kept.join(F.broadcast(blocks.orderBy(F.desc("n"), "item").limit(HOT_KEYS)), "item", "left").select("id", "place", "item", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    kept = kept.select("id", "place", "item", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    kept = kept.select("id", "place", "item", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    a = kept.select("item", "low", "high", F.col("block").alias("x"), F.col("id").alias("source"), F.col("place").alias("p"))
+    b = kept.select("item", "low", "high", F.col("block").alias("y"), F.col("id").alias("target"), F.col("place").alias("q"))
+    met = a.join(b, ["item", "low", "high"]).filter((F.col("p") < F.col("q")) & (F.least("x", "y") == F.col("low")) & (F.greatest("x", "y") == F.col("high")))
+    pairs = met.groupBy("source", "target", "p", "q").agg(F.count(F.lit(1)).alias("weight"))
+    if edges is not None:
+        pairs = pairs.orderBy(F.desc("weight"), "p", "q").limit(edges)
+    return pairs.select("source", "target", "weight")

@@ -103,6 +103,11 @@ _RECORDS = """t AS (SELECT name, tech_stack, row_number() OVER (ORDER BY stars D
  both_ways AS MATERIALIZED (SELECT source, target, weight::DOUBLE AS weight FROM edges UNION ALL SELECT target, source, weight FROM edges),
  degree AS (SELECT source AS id, sum(weight) AS degree FROM both_ways GROUP BY 1)"""
 
+#: The same of all records, all items and all pairs.
+_ALL_RECORDS = """counts AS (SELECT DISTINCT name AS item FROM repos WHERE name IS NOT NULL), i AS MATERIALIZED (SELECT DISTINCT name, unnest(tech_stack) AS item FROM repos),
+ both_ways AS MATERIALIZED (SELECT a.name AS source, b.name AS target, count(*)::DOUBLE AS weight FROM i a JOIN i b ON a.item = b.item AND a.name <> b.name GROUP BY 1, 2),
+ degree AS (SELECT source AS id, sum(weight) AS degree FROM both_ways GROUP BY 1)"""
+
 
 def _pagerank(steps: int, edges: str = _EDGES) -> str:
     ctes = [f"{edges}, n AS (SELECT count(*)::DOUBLE AS n FROM counts)"]
@@ -224,6 +229,7 @@ FROM rules WHERE list_contains(antecedent, 'data-pipeline') ORDER BY lift DESC,
         "pagerank": _pagerank(steps[0]),
         "hits": _hits(steps[1]),
         "repository_influence": f"SELECT * FROM ({_pagerank(60, _RECORDS)}) JOIN ({_hits(40, _RECORDS)}) USING (id)",
+        "repository_influence_all": f"SELECT * FROM ({_pagerank(60, _ALL_RECORDS)}) JOIN ({_hits(40, _ALL_RECORDS)}) USING (id)",
         "keyword_communities": f"""WITH {_TX}, k(p, k) AS (VALUES {keywords}), v AS (SELECT item, {normal} AS n0 FROM counts), m AS (SELECT item, coalesce({_ALIAS}[n0], n0) AS n FROM v)
 SELECT item AS id, coalesce(min(p), 13) AS community FROM m LEFT JOIN k ON contains(n, k) OR contains(k, n) GROUP BY 1""",
         "induced_subgraph": f"""WITH {_EDGES}, t AS (SELECT id FROM graph_nodes ORDER BY pagerank DESC, count DESC, id LIMIT 40)

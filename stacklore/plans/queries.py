@@ -71,7 +71,7 @@ def basket_similarity_graph(spark, folder):
 
 
 def repository_influence(spark, folder):
-    """PageRank and HITS of the records in their similarity graph."""
+    """PageRank and HITS of the 2,500 first records in their drawn similarity graph; repository_influence_all has all."""
     repos = read(spark, folder, "repos")
     edges = transactions.basket_similarity_graph(repos, "name", "tech_stack", "stars")
     nodes = repos.orderBy(F.desc_nulls_last("stars"), "name").limit(2500).select(F.col("name").alias("id"))
@@ -79,6 +79,12 @@ def repository_influence(spark, folder):
     return both.select("id", F.round("pagerank", 8).alias("pagerank"), F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
 
 
+def repository_influence_all(spark, folder):
+    """PageRank and HITS of all records in the graph of all shared items."""
+    out = graph.shared_item_influence(read(spark, folder, "repos"), "name", "tech_stack")
+    return out.select("id", F.round("pagerank", 8).alias("pagerank"), F.round("hub", 7).alias("hub"), F.round("authority", 7).alias("authority"))
+
+
 def clean_documents(spark, folder):
     return read(spark, folder, "documents").select("doc_id", S.clean_text(F.col("text")).alias("clean"))
 
