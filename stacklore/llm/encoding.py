@@ -35,7 +35,7 @@ SEQUENCE = 3.0
 CONTROL = 8.0
 #: What it costs a damaged span to go on over a token that its channel does not touch.
 CARRY = 1.0
-#: Lost bytes of a token that are tried out.
+#: Lost bytes of a token up to which all its readings are scored; with more, the best by its letter pairs is searched.
 WILDCARDS = 2
 LOST = "�"
 
@@ -83,17 +83,25 @@ def _defined(b: int, name: str) -> bool:
 
 
 _OPEN = {name: _open_bytes(name) for name in READ_UTF8}
+#: What may stand for a byte that a one-byte reader lost, and how long the UTF-8 sequence of a first byte is.
+_LOST_BYTES = {read: [b for b in range(128, 256) if not _defined(b, read)] for read, _ in ONE_BYTE}
+_LENGTH = [1] * 128 + [0] * 66 + [2] * 30 + [3] * 16 + [4] * 5 + [0] * 11
 
 
-def _from_utf8(token: str, read: str):
-    """All texts that, written in UTF-8 and read in ``read``, could give the token."""
+def _from_utf8(token: str, read: str, model: Model | None = None):
+    """Texts that, written in UTF-8 and read in ``read``, could give the token: all, or with many lost bytes the model's best."""
     table = _TABLES[read]
     try:
         data = [-1 if c == LOST else table[c] for c in token]
     except KeyError:
         return
     holes = [i for i, b in enumerate(data) if b < 0]
-    if len(holes) > WILDCARDS or max(data) < 128:
+    if max(data) < 128:
+        return
+    if len(holes) > WILDCARDS:
+        text = model.best_utf8(data, read) if model else None
+        if text is not None:
+            yield text
         return
     for fill in itertools.product(_OPEN[read], repeat=len(holes)):
         for i, b in zip(holes, fill, strict=True):
@@ -105,7 +113,7 @@ def _from_utf8(token: str, read: str):
         yield text
 
 
-def restorations(token: str):
+def restorations(token: str, model: Model | None = None):
     """(channel, text, restored sequences) for every channel that can be undone."""
     done = {token}
     layer = [("", token, 0)]
@@ -113,16 +121,18 @@ def restorations(token: str):
         found = []
         for name, text, count in layer:
             for read in READ_UTF8:
-                for out in _from_utf8(text, read):
+                for out in _from_utf8(text, read, model):
                     if out not in done and len(out) < len(text):
                         done.add(out)
                         found.append((f"{name}utf-8 as {read}; ", out, count + sum(c > "\x7f" for c in out)))
         yield from found
         layer = found
-    if LOST in token:
-        return
     for read, written in ONE_BYTE:
         table, back = _TABLES[read], _BACK[written]
+        if LOST in token:
+            for out in model.from_byte(token, read, written) if model else ():
+                yield f"{written} as {read}; ", out, 0
+            continue
         try:
             out = "".join([c if c < "\x80" else back[table[c]] for c in token])
         except KeyError:
@@ -166,6 +176,83 @@ class Model:
             shape = re.sub(r"[^\x00-\x7f]", LOST, word)
             self.shapes[shape] = max(self.shapes.get(shape, (0, "")), (n, word))
         self.seen: dict[str, list[tuple[str, str, float, float]]] = {}
+        self.filled: dict[tuple, list[str]] = {}
+
+    def step(self, a: str, b: str) -> float:
+        """The score of letter b after a."""
+        n = self.pairs.get(a + b, 0)
+        return log(n / self.first[a]) if n else _UNSEEN + (log(self.letters[b] / self.all) if b in self.letters else log(0.1 / self.all) + _UNSEEN)
+
+    def best(self, size: int, choices) -> str | None:
+        """The text of greatest score by letter pairs; choices(i): (next place, letters) of what can stand at place i.
+
+        A Viterbi search whose states are the place and the last letter; letters that begin
+        no known pair are one state.
+        """
+        states: list[dict[str, tuple]] = [{} for _ in range(size + 1)]
+        states[0]["\x02"] = (0.0, None, "", "")
+        for i in range(size):
+            if not states[i]:
+                continue
+            for j, letters in choices(i):
+                for c in letters:
+                    b = _form(c)
+                    score, a = max((s[0] + self.step(a, b), a) for a, s in states[i].items())
+                    key = b if b in self.first else ""
+                    if key not in states[j] or score > states[j][key][0]:
+                        states[j][key] = (score, i, a, c)
+        if not states[size]:
+            return None
+        at, last = size, max((s[0] + self.step(a, "\x03"), a) for a, s in states[size].items())[1]
+        out = []
+        while at:
+            _, at, last, c = states[at][last]
+            out.append(c)
+        return "".join(out[::-1])
+
+    def fills(self, part: tuple[int, ...], read: str) -> list[str]:
+        """The letters that the bytes can be, -1 for a lost one; of those never seen only the first."""
+        key = (read, *part)
+        if key not in self.filled:
+            known, other = [], []
+            for fill in itertools.product(*[_OPEN[read] if b < 0 else (b,) for b in part]):
+                try:
+                    c = bytes(fill).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if c in self.letters or c in self.first:
+                    known.append(c)
+                elif not other:
+                    other.append(c)
+            self.filled[key] = known + other
+        return self.filled[key]
+
+    def best_utf8(self, data: list[int], read: str) -> str | None:
+        """The best text of UTF-8 bytes, -1 for a lost one, that were read in ``read``."""
+
+        def choices(i: int):
+            sizes = {_LENGTH[b] for b in (_OPEN[read] if data[i] < 0 else data[i : i + 1])} - {0}
+            return [(i + n, self.fills(tuple(data[i : i + n]), read)) for n in sizes if i + n <= len(data)]
+
+        return self.best(len(data), choices)
+
+    def from_byte(self, token: str, read: str, written: str) -> list[str]:
+        """Texts of a one-byte encoding, read in one that lost bytes: all, or with many the best; none if no other letter shows the channel."""
+        table, back = _TABLES[read], _BACK[written]
+        letters = []
+        for c in token:
+            if c == LOST:
+                letters.append([back[b] for b in _LOST_BYTES[read] if b in back])
+            elif c < "\x80":
+                letters.append([c])
+            else:
+                letters.append([back[table[c]]] if table.get(c) in back else [])
+        if not all(letters) or all(c < "\x80" or c == LOST for c in token):
+            return []
+        if token.count(LOST) <= WILDCARDS:
+            return ["".join(x) for x in itertools.product(*letters)]
+        best = self.best(len(token), lambda i: [(i + 1, letters[i])])
+        return [] if best is None else [best]
 
     def score(self, token: str) -> float:
         form = _form(token)
@@ -184,7 +271,7 @@ class Model:
             if len(self.seen) > 200_000:
                 self.seen.clear()
             options, own = [], self.score(token)
-            for channel, text, count in restorations(token):
+            for channel, text, count in restorations(token, self):
                 gain = self.score(text) - own + SEQUENCE * count - MIXED * bool(_MIXED.search(text))
                 gain += CONTROL * (len(_CONTROL.findall(token)) - len(_CONTROL.findall(text)))
                 if gain > -8:

@@ -199,3 +199,32 @@ def test_a_damaged_part_and_a_long_text(spark):
     got = repaired(spark, [text, text])
     assert set(got) == {0, 1}
     assert got[0]["restored"] == (CLEAN[0] + " ") * 2000 + "prêtes"
+
+
+RUSSIAN = "Сессия рассылается после согласования всех сервисов и расписания."
+JAPANESE = "このドキュメントはあなたのためにつくられました"
+
+
+def read_with_losses(text, written, read="cp1252"):
+    return "".join(bytes([b]).decode(read, errors="replace") for b in text.encode(written))
+
+
+def test_many_lost_bytes_in_a_token(spark):
+    bad = [read_with_losses(t, "utf-8") for t in (RUSSIAN, JAPANESE, CLEAN[3])]
+    assert all(max(w.count("\ufffd") for w in b.split()) > encoding.WILDCARDS for b in bad[:2])
+    got = repaired(spark, bad, extra=[RUSSIAN, JAPANESE] * 100)
+    assert [got[i]["restored"] for i in range(3)] == [RUSSIAN, JAPANESE, CLEAN[3]]
+    assert all(got[i]["complete"] for i in range(3))
+
+
+def test_lost_bytes_of_one_byte_encodings(spark):
+    text = "Ђорђе Џон Ќе Ѓорѓи Кућа"  # cp1251 80, 8f, 8d, 81; 90 for the small letter
+    bad = read_with_losses(text, "cp1251")
+    assert "\ufffd" in bad
+    got = repaired(spark, [bad], extra=[text] * 100)
+    assert got[0]["restored"] == text
+
+
+def test_many_lost_bytes_take_linear_time():
+    model = encoding.Model({JAPANESE: 9}, {a + b: 9 for a, b in zip("\x02" + JAPANESE, JAPANESE + "\x03", strict=True)})
+    assert model.best_utf8([-1 if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else b for b in (JAPANESE * 300).encode()], "cp1252") == JAPANESE * 300
