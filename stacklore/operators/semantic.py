@@ -37,19 +37,20 @@ def ngrams(text: Column, stop_words: list[str], most: int = 2) -> Column:
     return F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
 
-def tfidf_weights(docs: DataFrame, most_terms: int = 12_000, min_df: int = 2, grams: int = 2, stop_words: list[str] | None = None) -> DataFrame:
+def tfidf_weights(docs: DataFrame, most_terms: int | None = None, min_df: int = 2, grams: int = 2, stop_words: list[str] | None = None) -> DataFrame:
     """(id, term, weight) of docs(id, text): the sparse term matrix in long form.
 
     Weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document at length 1. Terms
-    in fewer than ``min_df`` documents are left out, then the ``most_terms`` of the most
-    occurrences are kept (ties by term). n counts all documents, also those without terms.
+    in fewer than ``min_df`` documents are left out; if ``most_terms`` is given, those of the
+    most occurrences are kept (ties by term). n counts all documents, also those without terms.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     n = max(1, docs.count())
     counts = docs.select("id", F.explode(ngrams(F.col("text"), stop_words, grams)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = cut(counts)
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    terms = terms.orderBy(F.desc("total"), "term").limit(most_terms)
+    if most_terms is not None:
+        terms = terms.orderBy(F.desc("total"), "term").limit(most_terms)
     weighed = dictionary_join(counts, terms, ["term"], ["df"], "df").select("id", "term", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("raw"))
     weighed = cut(weighed)
     length = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
@@ -191,19 +192,25 @@ def knn_cosine(vectors: DataFrame, k: int = 8, queries: DataFrame | None = None)
     return near.filter(F.col("place") <= k).select("id", "place", "neighbour", F.round(F.greatest("score", F.lit(0.0)), 5).alias("score"))
 
 
-def svd_embed(weights: DataFrame, dims: int = 96) -> DataFrame:
+def svd_embed(weights: DataFrame, dims: int = 96, docs: DataFrame | None = None) -> DataFrame:
     """(id, vector): rows of the long term matrix(id, term, weight) in ``dims`` directions, at length 1.
 
+    Every id of docs(id) gets a row; without a weighted term it is the zero vector.
+
     Directions are those of the truncated singular value decomposition; their signs, and the
     order within equal singular values, are arbitrary.
     """
     from pyspark.mllib.linalg import SparseVector
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    terms = cut(weights.select("term").distinct().selectExpr("term", "row_number() OVER (ORDER BY term) - 1 AS at"))  # most_terms rows
+    terms = cut(weights.select("term").distinct().selectExpr("term", "row_number() OVER (ORDER BY term) - 1 AS at"))  # a row per term
     width = max(1, terms.count())
     rows = cut(weights.join(terms, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("cells")))
-    dims = max(1, min(dims, max(2, min(rows.count(), width) - 1), width))
+    count = rows.count()
+    dims = max(1, min(dims, max(2, min(count, width) - 1), width))
+    if not count:
+        ids = rows if docs is None else docs
+        return ids.select(F.col("id").cast("bigint").alias("id"), F.array_repeat(F.lit(0.0), dims).alias("vector"))
 
     def cells(row):
         return IndexedRow(row["id"], SparseVector(width, [c["at"] for c in row["cells"]], [c["weight"] for c in row["cells"]]))
@@ -218,7 +225,11 @@ def svd_embed(weights: DataFrame, dims: int = 96) -> DataFrame:
                 out.append((x / (np.linalg.norm(x) or 1.0)).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
 
-    return rows.mapInArrow(project, "id bigint, vector array<double>")
+    found = rows.mapInArrow(project, "id bigint, vector array<double>")
+    if docs is None:
+        return found
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return docs.select(F.col("id").cast("bigint").alias("id")).join(found, "id", "left").select("id", F.coalesce("vector", zero).alias("vector"))
 
 
 def kmeans_clusters(vectors: DataFrame, k: int = 13, seed: int = 42) -> DataFrame:

@@ -149,6 +149,7 @@ _TFIDF = f"""w AS (SELECT repo_id AS id, list_filter(regexp_extract_all(lower(co
  df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 12000),
  raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM repos)) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term)),
  weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw)"""
+_ALL_TFIDF = _TFIDF.replace(" ORDER BY total DESC, term LIMIT 12000", "")
 
 
 def sql() -> dict[str, str]:
@@ -242,6 +243,8 @@ SELECT source, target, weight FROM edges WHERE source IN (SELECT id FROM t) AND
         "confusion_matrix": f"WITH {_CLASSES} SELECT label::VARCHAR AS expected, category AS predicted, count(*) AS count FROM c JOIN e USING (id) GROUP BY 1, 2",
         "tfidf_weights": f"WITH {_TFIDF} SELECT id, term, round(weight, 5) AS weight FROM weights",
         "tfidf_top_terms": f"WITH {_TFIDF}, p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS place FROM weights) SELECT id, place::INTEGER AS place, term, round(weight, 5) AS weight FROM p WHERE place <= 5",
+        "tfidf_weights_all": f"WITH {_ALL_TFIDF} SELECT id, term, round(weight, 5) AS weight FROM weights",
+        "tfidf_top_terms_all": f"WITH {_ALL_TFIDF}, p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS place FROM weights) SELECT id, place::INTEGER AS place, term, round(weight, 5) AS weight FROM p WHERE place <= 5",
         "validation_checks": f"""WITH {_rule_ctes()}, r AS (SELECT count(*) FILTER (coalesce(len(tech_stack), 0) = 0) = 0 AS a, count(DISTINCT bert_category) >= 5 AS b FROM repos),
  e AS (SELECT count(*) AS n FROM (SELECT DISTINCT a.item, b.item FROM item a JOIN item b ON a.id = b.id AND a.item < b.item LIMIT 1500)),
  checks AS (SELECT 'every record has a stack' AS item, a AS ok, 2 AS max_score FROM r UNION ALL SELECT 'five categories or more', b, 2 FROM r UNION ALL SELECT 'a hundred rules or more', count(*) >= 100, 3 FROM rules

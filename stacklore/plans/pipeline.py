@@ -20,7 +20,7 @@ from stacklore.sources import files
 from stacklore.storage import cut
 
 
-def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: int = 12_000, weights: str | None = None, vocabulary: str | None = None, length: int = 96, batch: int = 64) -> tuple[DataFrame, DataFrame]:
+def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: int | None = None, weights: str | None = None, vocabulary: str | None = None, length: int = 96, batch: int = 64) -> tuple[DataFrame, DataFrame]:
     """(vectors(id, vector), scores(id, position, category, score)) of docs(id, text).
 
     method 'tfidf' weighs terms and takes ``dims`` singular directions; 'bert' runs the
@@ -30,7 +30,7 @@ def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: in
     spark = docs.sparkSession
     if method == "tfidf":
         scores = cut(semantic.tfidf_scores(docs, most_terms=most_terms))
-        return cut(semantic.svd_embed(semantic.tfidf_weights(docs, most_terms=most_terms), dims)), scores
+        return cut(semantic.svd_embed(semantic.tfidf_weights(docs, most_terms=most_terms), dims, docs)), scores
     if method == "bert":
         from stacklore.functions.vocabulary import category_prompts
         from stacklore.operators.bert import bert_embed
@@ -64,7 +64,7 @@ def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: in
     raise ValueError(f"unknown method {method!r}")
 
 
-def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", min_support: float = 0.012, min_confidence: float = 0.25, min_lift: float = 1.1, max_itemset: int = 3, max_features: int = 12_000, svd_dims: int = 96, clusters: int = 13, neighbors: int = 8, description_limit: int | None = None, readme_limit: int | None = None, **model) -> dict:
+def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", min_support: float = 0.012, min_confidence: float = 0.25, min_lift: float = 1.1, max_itemset: int = 3, max_features: int | None = None, svd_dims: int = 96, clusters: int = 13, neighbors: int = 8, description_limit: int | None = None, readme_limit: int | None = None, **model) -> dict:
     """Writes repos, graph_nodes, graph_edges, association_rules, similarities and stats as JSON, and a report; returns the stats.
 
     Texts are taken whole unless ``description_limit`` or ``readme_limit`` is given.
@@ -139,7 +139,7 @@ def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--raw", required=True, help="JSON array of collected records")
     p.add_argument("--out", required=True, help="local folder for the results")
-    for flag, kind, default in (("min-support", float, 0.012), ("min-confidence", float, 0.25), ("min-lift", float, 1.1), ("max-itemset", int, 3), ("max-features", int, 12_000), ("svd-dims", int, 96), ("clusters", int, 13), ("neighbors", int, 8)):
+    for flag, kind, default in (("min-support", float, 0.012), ("min-confidence", float, 0.25), ("min-lift", float, 1.1), ("max-itemset", int, 3), ("max-features", int, None), ("svd-dims", int, 96), ("clusters", int, 13), ("neighbors", int, 8)):
         p.add_argument(f"--{flag}", type=kind, default=default)
     p.add_argument("--description-limit", type=int, help="characters of a cleaned description, default all; the original takes 600")
     p.add_argument("--readme-limit", type=int, help="characters of a cleaned readme, default all; the original takes 1800")

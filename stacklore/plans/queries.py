@@ -355,17 +355,35 @@ def confusion_matrix(spark, folder):
     return semantic.confusion_matrix(_classified(spark, folder).select("id", F.col("bert_category").alias("category")), expected)
 
 
-def _tfidf(spark, folder, text: str = "description"):
-    docs = read(spark, folder, "repos").select(F.col("repo_id").alias("id"), F.col(text).alias("text"))
-    return semantic.tfidf_weights(docs, stop_words=["a", "and", "for", "in", "of", "on", "that", "the", "to", "with"])
+def _tfidf(spark, folder, most_terms: int | None = None):
+    docs = read(spark, folder, "repos").select(F.col("repo_id").alias("id"), F.col("description").alias("text"))
+    return semantic.tfidf_weights(docs, most_terms, stop_words=["a", "and", "for", "in", "of", "on", "that", "the", "to", "with"])
+
+
+def _weights(terms):
+    return terms.select("id", "term", F.round("weight", 5).alias("weight"))
+
+
+def _top_terms(terms):
+    return semantic.top_terms(terms).select("id", "place", "term", F.round("weight", 5).alias("weight"))
 
 
 def tfidf_weights(spark, folder):
-    return _tfidf(spark, folder).select("id", "term", F.round("weight", 5).alias("weight"))
+    """Of the 12,000 most used terms; tfidf_weights_all has all."""
+    return _weights(_tfidf(spark, folder, 12_000))
+
+
+def tfidf_weights_all(spark, folder):
+    return _weights(_tfidf(spark, folder))
 
 
 def tfidf_top_terms(spark, folder):
-    return semantic.top_terms(_tfidf(spark, folder)).select("id", "place", "term", F.round("weight", 5).alias("weight"))
+    """Of the 12,000 most used terms; tfidf_top_terms_all has all."""
+    return _top_terms(_tfidf(spark, folder, 12_000))
+
+
+def tfidf_top_terms_all(spark, folder):
+    return _top_terms(_tfidf(spark, folder))
 
 
 def tfidf_categories(spark, folder):
@@ -374,7 +392,7 @@ def tfidf_categories(spark, folder):
 
 
 def svd_embed(spark, folder):
-    return semantic.svd_embed(_tfidf(spark, folder), 16)
+    return semantic.svd_embed(_tfidf(spark, folder), docs=read(spark, folder, "repos").select(F.col("repo_id").alias("id")))
 
 
 def kmeans_clusters(spark, folder):

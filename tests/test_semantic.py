@@ -128,3 +128,13 @@ def test_encoder_and_tensor_file(spark, tmp_path):
     got = {r["id"]: r["vector"] for r in bert.bert_embed(docs, str(tmp_path / "m"), str(tmp_path / "v")).collect()}
     assert got[1] == pytest.approx(model.encode(["play"])[0].tolist(), abs=1e-5)
     assert np.linalg.norm(got[2]) == pytest.approx(1, abs=1e-5)
+
+
+def test_every_document_gets_a_vector_and_every_term_a_weight(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["ab cd", "ab cd ef", "ef gh ab", "alone", None])], "id bigint, text string")
+    got = {r["id"]: r["vector"] for r in semantic.svd_embed(semantic.tfidf_weights(docs, grams=1, stop_words=[]), docs=docs).collect()}
+    assert set(got) == set(range(5)) and len({len(v) for v in got.values()}) == 1
+    assert not any(got[3] + got[4]) and np.linalg.norm(got[0]) == pytest.approx(1)
+    assert semantic.svd_embed(semantic.tfidf_weights(docs.filter("id > 2")), docs=docs.filter("id > 2")).count() == 2
+    many = spark.createDataFrame([(i, " ".join(f"t{j}" for j in range(13_000))) for i in range(2)], "id bigint, text string")
+    assert semantic.tfidf_weights(many, grams=1, stop_words=[]).count() == 26_000
