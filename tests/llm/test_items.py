@@ -139,3 +139,10 @@ def test_pairs_seen_once_are_in_the_result(spark, tmp_path):
     spark.createDataFrame([(1, ["x", "y"])], "repo_id bigint, tech_stack array<string>").write.parquet(str(tmp_path / "repos.parquet"))
     got = {(r["src"], r["item_a"], r["item_b"], r["n_both"], r["lift"]) for r in queries.p1_all_pairs(spark, str(tmp_path)).collect()}
     assert got == {("github_repos", "a", "b", 1, 1.0), ("github_repos", "b", "c", 2, 1.0), ("repos", "x", "y", 1, 1.0)}
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_repeated_rows_of_large_baskets_count_each(spark, block):
+    df = spark.createDataFrame([("s", 1, list("abcde"))] * 3 + [("s", 1, list("abc")), ("s", 2, list("abcde"))], "src string, id bigint, items array<string>")
+    got = {(r["item_a"], r["item_b"]): r["n_both"] for r in cooccurrence.cooccurrence(df, ["src"], "id", "items", block=block).collect()}
+    assert got == {p: 5 if set(p) <= set("abc") else 4 for p in combinations("abcde", 2)}
