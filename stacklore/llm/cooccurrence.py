@@ -30,11 +30,10 @@ def basket_pairs(baskets: DataFrame, by: list[str], id_col: str, items: str, blo
     """
     rows = baskets.select(*by, F.col(id_col).alias("__basket"), F.col(items).alias("__items")).filter(F.size("__items") > 1)
     small = rows.filter(F.size("__items") <= block).select(*by, F.col("__items").alias("left"), F.col("__items").alias("right"), F.lit(True).alias("same"))
-    count = F.ceil(F.size("__items") / block).cast("int")
     big = rows.filter(F.size("__items") > block).groupBy(*by, "__basket", "__items").agg(F.count(F.lit(1)).alias("__copies"))  # equal rows go through once
-    chunk = big.select(*by, "__basket", "__items", "__copies", count.alias("__n"), F.xxhash64("__items").alias("__sum"))
-    chunk = chunk.select(*by, "__basket", "__sum", "__copies", "__n", "__items", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__i"))
-    chunk = chunk.select(*by, "__basket", "__sum", "__copies", "__n", "__i", F.slice("__items", F.col("__i") * block + 1, block).alias("__chunk"))
+    count = F.ceil(F.size("__items") / block).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("__items", i * block + 1, block))  # sliced before rows are made, so that a row holds one chunk
+    chunk = big.select(*by, "__basket", F.xxhash64("__items").alias("__sum"), "__copies", count.alias("__n"), F.posexplode(parts).alias("__i", "__chunk"))
     chunk = chunk.repartition(*by, "__basket", "__i")
     chunk = chunk.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     key = [*by, "__basket", "__sum", F.least("__i", "__j").alias("__low"), F.greatest("__i", "__j").alias("__high")]
