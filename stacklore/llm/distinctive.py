@@ -2,12 +2,12 @@
 
 Every (record, term) is scored by the log-likelihood ratio of the two-by-two table
 term / other terms by record / remaining collection. The inverse-frequency score
-tf * ln(N / df) stands beside it.
+tf * ln(N / df) stands beside it. ``distinctive_terms`` selects by the ratio.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacklore.functions.tables import dictionary_join
@@ -25,15 +25,40 @@ def score_terms(counts: DataFrame, by: list[str]) -> DataFrame:
     words = words.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     total = counts.groupBy(*by).agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("n_terms"), F.sum(F.col("first").cast("bigint")).alias("n_records"))
     scored = dictionary_join(counts, words, [*by, "term"], ["df", "cf"], "df").join(F.broadcast(total), by)  # a row per table
-    a, row, col, n = (F.col(x).cast("double") for x in ("tf", "size", "cf", "n_terms"))
+    tfidf = F.col("tf") * F.log(F.col("n_records") / F.col("df"))
+    return scored.select(*by, "id", "term", "tf", "size", "df", "cf", "n_records", "n_terms", ratio(F.col("tf")).alias("llr"), tfidf.alias("tfidf"))
+
+
+def ratio(times: Column) -> Column:
+    """The signed log-likelihood ratio of a record that held its term ``times`` times; null where its table cannot be.
+
+    It uses the columns size, cf and n_terms. With these fixed it grows with ``times``: the
+    derivative of the unsigned ratio is 2 ln(a d / (b c)), positive exactly where the
+    sign is.
+    """
+    a, row, col, n = (x.cast("double") for x in (times, F.col("size"), F.col("cf"), F.col("n_terms")))
 
     def part(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
-    ratio = 2 * (part(a, row * col / n) + part(row - a, row * (n - col) / n) + part(col - a, (n - row) * col / n) + part(n - row - col + a, (n - row) * (n - col) / n))
-    llr = F.when(a * n >= row * col, ratio).otherwise(-ratio)
-    tfidf = a * F.log(F.col("n_records") / F.col("df"))
-    return scored.select(*by, "id", "term", "tf", "size", "df", "cf", "n_records", "n_terms", llr.alias("llr"), tfidf.alias("tfidf"))
+    plain = 2 * (part(a, row * col / n) + part(row - a, row * (n - col) / n) + part(col - a, (n - row) * col / n) + part(n - row - col + a, (n - row) * (n - col) / n))
+    possible = (a <= row) & (a <= col) & (a >= row + col - n)
+    return F.when(possible, F.when(a * n >= row * col, plain).otherwise(-plain))
+
+
+def distinctive_terms(scored: DataFrame, share: Column, min_df: int = 2) -> DataFrame:
+    """The rows of ``score_terms`` whose score tf * ln(N / df) is at least ``share`` * ln N, with df of ``min_df`` or more.
+
+    The ratio selects. A case holds its term at least share * ln N / ln(N / df) times, and
+    the ratio grows with the times, so a row is a case exactly if its ratio reaches that of
+    a record of its size with just so many. What lies within rounding of that least ratio is
+    settled by the score itself. Terms in every record have score 0 and no case.
+    """
+    bound = share * F.log("n_records")
+    times = bound / F.nullif(F.log(F.col("n_records") / F.col("df")), F.lit(0.0))
+    least = ratio(F.greatest(times * (1 - 1e-9), F.lit(0.0)))
+    passed = scored.filter((F.col("df") >= min_df) & (F.col("llr") >= least - 1e-6))
+    return passed.filter(F.col("tfidf") >= bound - 1e-9)
 
 
 def text_terms(texts: DataFrame, by: list[str], text: str) -> DataFrame:

@@ -14,11 +14,11 @@ from stacklore.storage import cut
 
 
 def tag_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """(src, id, items): folded topics of the current rows, folded tech_stack of all repos."""
+    """(src, id, items): folded topics of the current rows, folded tech_stack of all repos. Worked out once, used several times."""
     topics = current_rows(read(spark, folder, "github_repos").select("name", "collected_at", "row_id", "topics"), "topics")
     topics = topics.select(F.lit("github_repos").alias("src"), F.col("row_id").alias("id"), folded_set(F.col("topics")).alias("items"))
     stacks = read(spark, folder, "repos").select(F.lit("repos").alias("src"), F.col("repo_id").alias("id"), folded_set(F.col("tech_stack")).alias("items"))
-    return topics.unionByName(stacks)
+    return cut(topics.unionByName(stacks))
 
 
 def _pairs(spark: SparkSession, folder: str, min_count: int) -> DataFrame:
@@ -56,9 +56,8 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    scored = _distinctive(spark, folder).filter((F.col("df") >= 2) & F.col("llr").isNotNull())
     share = F.when(F.col("src") == "repos", 0.7).otherwise(1.25)
-    return scored.filter(F.col("tfidf") >= share * F.log("n_records") - 1e-9).select("src", "id", "term")
+    return distinctive.distinctive_terms(_distinctive(spark, folder), share).select("src", "id", "term")
 
 
 def _current_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,6 +65,31 @@ def test_term_scores_of_sets(spark):
     assert {(r["id"], r["term"], r["df"], r["n_records"]) for r in got.collect()} == {(0, "a", 2, 2), (0, "b", 1, 2), (1, "a", 2, 2)}
 
 
+def test_the_ratio_selects_the_cases_and_loses_none(spark):
+    random = np.random.default_rng(7)
+    rows = []
+    for i in range(150):  # few frequent words, many rare ones, one record that repeats a word very often
+        words = Counter(f"w{int(x)}" for x in random.pareto(0.7, random.integers(1, 30)).clip(0, 5000))
+        words["all"] = 1
+        if i == 3:
+            words["w1"] = 1000
+        rows += [("s", i, w, n, sum(words.values()), at == 0) for at, (w, n) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "src string, id bigint, term string, tf bigint, size bigint, first boolean")
+    scored = distinctive.score_terms(df, ["src"])
+    for share in (0.3, 0.7, 1.0, 1.25, 3.0):
+        expected = {(r["id"], r["term"]) for r in scored.collect() if r["df"] >= 2 and r["tfidf"] >= share * log(150) - 1e-9}
+        got = {(r["id"], r["term"]) for r in distinctive.distinctive_terms(scored, distinctive.F.lit(share)).collect()}
+        assert got == expected
+        assert "all" not in {t for _, t in got}
+    assert len(expected) >= 1  # the least frequent case: only the repeated word
+
+
+def test_the_ratio_grows_with_the_times(spark):
+    df = spark.range(0, 61).selectExpr("id AS tf", "60L AS size", "90L AS cf", "1000L AS n_terms")
+    got = [r["x"] for r in df.orderBy("tf").select(distinctive.ratio(df.tf).alias("x")).collect()]
+    assert got == sorted(got) and got[0] < 0 < got[-1]
+
+
 def values(spark, rows):
     out = []
     for i, row in enumerate(rows):
@@ -84,6 +109,13 @@ def test_frequencies(spark):
     assert frequency.frequencies(values(spark, [])).count() == 0
 
 
+def test_frequencies_over_several_ranges(spark):
+    rows = [[f"v{i}", f"v{i // 2}", "hot"] for i in range(9000)]
+    times, records = Counter(v for r in rows for v in r), Counter(v for r in rows for v in set(r))
+    got = {r["value"]: (r["occurrences"], r["records"]) for r in frequency.frequencies(values(spark, rows), blocks=3).collect()}
+    assert got == {v: (n, records[v]) for v, n in times.items()}
+
+
 def test_dictionary_has_no_gaps(spark):
     codes = frequency._number(spark.createDataFrame([("f", f"v{i:05d}") for i in range(5000)], "field string, value string")).orderBy("value").collect()
     assert [r["code"] for r in codes] == list(range(5000))
