@@ -2,7 +2,8 @@
 
 A global integer dictionary numbers the distinct values (sorted, without gaps). Blocks
 of records are counted on their own, their values encoded, and the counts laid into
-arrays, one per block and range of identifiers. Arrays of the same range are summed.
+arrays, one per block and range of identifiers. Ranges are dealt to tasks, where the arrays
+of a range are summed.
 A value reaches the dictionary and the arrays at most once per block, however often it
 occurs, so that no value makes a hot key.
 """
@@ -37,49 +38,34 @@ def _number(values: DataFrame) -> DataFrame:
 
 
 def _arrays(batches):
-    """Lays (code, occurrences, records) rows of one block into arrays by range."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def flush():
-        if held:
-            keys = sorted(held)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([held[k][0] for k in keys], kind), pa.array([held[k][1] for k in keys], kind)], names=["span", "occ", "rec"]
-            )
-            held.clear()
+    """Lays the (span, block, code, occ, rec) rows of each block into arrays and sums those of a range.
 
-    for batch in batches:
-        code, occ, rec = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        span = code // RANGE
-        for k in np.unique(span):
-            pick = span == k
-            if k not in held:
-                held[int(k)] = (np.zeros(RANGE, np.int64), np.zeros(RANGE, np.int64))
-            np.add.at(held[int(k)][0], code[pick] % RANGE, occ[pick])
-            np.add.at(held[int(k)][1], code[pick] % RANGE, rec[pick])
-        if len(held) > 256:  # 16 MB of arrays
-            yield from flush()
-    yield from flush()
-
-
-def _sum_arrays(batches):
-    """Sums the arrays of each range; rows come sorted by range."""
-    last, occ, rec = None, None, None
+    Rows come sorted by range and block, whole ranges to a task; two arrays for the block at
+    hand and two for the range are held.
+    """
+    last, own = None, None
+    total = np.zeros((2, RANGE), np.int64)
+    array = np.zeros((2, RANGE), np.int64)
 
     def out():
-        at = np.flatnonzero(occ)
-        return pa.RecordBatch.from_arrays([pa.array(last * RANGE + at, pa.int64()), pa.array(occ[at]), pa.array(rec[at])], names=["code", "occurrences", "records"])
+        at = np.flatnonzero(total[0])
+        return pa.RecordBatch.from_arrays([pa.array(last * RANGE + at, pa.int64()), pa.array(total[0][at]), pa.array(total[1][at])], names=["code", "occurrences", "records"])
 
     for batch in batches:
-        for span, o, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            if span != last:
-                if last is not None:
+        span, block, code, occ, rec = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        starts = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (block[1:] != block[:-1])]) if len(span) else []
+        for a, b in zip(starts, [*starts[1:], len(span)], strict=True):
+            if last is not None and (span[a], block[a]) != (last, own):
+                total += array
+                array[:] = 0
+                if span[a] != last:
                     yield out()
-                last, occ, rec = span, np.zeros(RANGE, np.int64), np.zeros(RANGE, np.int64)
-            occ += o.values.to_numpy()
-            rec += r.values.to_numpy()
+                    total[:] = 0
+            last, own = int(span[a]), int(block[a])
+            np.add.at(array[0], code[a:b] % RANGE, occ[a:b])
+            np.add.at(array[1], code[a:b] % RANGE, rec[a:b])
     if last is not None:
+        total += array
         yield out()
 
 
@@ -97,11 +83,10 @@ def frequencies(values: DataFrame, rare: int = 2, common_one_in: int = 10, block
     local = rows.groupBy("field", "value", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sum("times").alias("occ"), F.count(F.lit(1)).alias("rec"))
     local = cut(local)
     codes = cut(_number(local.select("field", "value").distinct()))
-    encoded = local.join(codes, ["field", "value"]).select("code", "occ", "rec")
-    arrays = encoded.mapInArrow(_arrays, "span bigint, occ array<bigint>, rec array<bigint>")
-    summed = arrays.repartition("span").sortWithinPartitions("span").mapInArrow(_sum_arrays, "code bigint, occurrences bigint, records bigint")
+    encoded = local.join(codes, ["field", "value"]).select(F.floor(F.col("code") / RANGE).alias("span"), "block", "code", "occ", "rec")
+    # A range has at most RANGE * blocks rows, so it fits a task, and each array is made where it is summed.
+    summed = encoded.repartition("span").sortWithinPartitions("span", "block").mapInArrow(_arrays, "code bigint, occurrences bigint, records bigint")
     total = rows.groupBy("field").agg(F.sum(F.col("first").cast("bigint")).alias("n_records"))
     done = codes.join(summed, "code").join(F.broadcast(total), "field")  # a row per field
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") * common_one_in >= F.col("n_records"), "common").otherwise("")
     return done.select("field", "value", "occurrences", "records", "n_records", mark.alias("mark"))
-
