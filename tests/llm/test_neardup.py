@@ -72,6 +72,32 @@ def test_large_shards_are_cut_and_nothing_is_lost(spark, monkeypatch):
     assert len(got) == 90 * 89 // 2
 
 
+def test_large_classes_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    members = spark.createDataFrame([(i, 0) for i in range(11)] + [(20, 20), (21, 20)] + [(30, 30)], "id bigint, rep bigint")
+    links = spark.createDataFrame([(0, 20), (20, 30)], "rep_a bigint, rep_b bigint")
+    got = sorted((r["id_a"], r["id_b"]) for r in pairs.expand(links, members, []).collect())
+    classes = [list(range(11)), [20, 21], [30]]
+    expected = [p for c in classes for p in combinations(c, 2)] + [(a, b) for i in (0, 1) for a in classes[i] for b in classes[i + 1]]
+    assert got == sorted(expected)
+
+
+def test_the_tree_compares_few_of_the_pairs(monkeypatch):
+    """Clusters of near copies: vantage points rule most comparisons out and lose no pair."""
+    random = np.random.default_rng(3)
+    codes = np.repeat(random.integers(0, 1 << 63, (20, 4), dtype=np.uint64), 100, 0)
+    for row in codes:
+        for bit in random.integers(0, 256, 8):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    reach = neardup.radius(Fraction(1, 2))
+    truth = int((np.bitwise_count(codes[:, None] ^ codes[None]).sum(-1) <= reach).sum() - 2000) // 2
+    seen = []
+    monkeypatch.setattr(neardup, "_distance", lambda a, b: (lambda d: (seen.append(d.size), d)[1])(np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)))
+    found = sum(len(x) for x, _ in neardup.vantage_pairs(codes, reach))
+    assert found == truth >= 20 * 100 * 99 // 2
+    assert sum(seen) < 2000 * 2000 / 5
+
+
 @pytest.mark.parametrize("spread", [3, 20, 128])
 def test_vantage_point_tree_equals_brute_force(spread):
     random = np.random.default_rng(2)
