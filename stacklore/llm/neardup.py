@@ -1,13 +1,14 @@
 """Problem 3: near-duplicate texts.
 
 A text is the set of its runs of ``width`` words. Minimum hashes of the set give a
-fingerprint of 128 bits, whose Hamming distance estimates the similarity, and the keys
-of the shards the text is sent to. In each shard a vantage-point tree splits the
-fingerprints by their Hamming distance from a vantage point; the triangle inequality
-rules branches out, and only fingerprints near a branch's boundary are compared across
-it. Pairs within the radius are verified on the exact sets. Exact copies form classes
-that are searched once. Shards too large for a task are cut into blocks, and pairs of
-blocks are searched apart.
+fingerprint of 256 bits, whose Hamming distance estimates the similarity, and the keys
+of the coarse shards the text is sent to, of which two near copies share at least one.
+In each shard a vantage-point tree splits the fingerprints by their Hamming distance from a
+vantage point, where the split saves most comparisons; the triangle inequality rules
+branches out, and only fingerprints near a branch's boundary are compared across it.
+Pairs within the radius are verified on the exact sets. Exact copies form classes that are
+searched once. Shards too large for a task are cut into blocks, and pairs of blocks are
+searched apart.
 """
 
 from __future__ import annotations
@@ -24,20 +25,24 @@ from stacklore.functions.tables import BROADCAST_IDS, semi_by_ids
 from stacklore.llm.wordhash import WordCodes, mix, shingles
 from stacklore.storage import cut
 
-BITS = 128
+BITS = 256
+#: The fingerprint's columns.
+CODES = [f"code{i}" for i in range(BITS // 64)]
+#: Minimum hashes in a key, and how often at most a pair at the threshold shares no key.
+KEY, MISS = 2, 0.001
 #: A tree's leaf is searched directly up to this many fingerprints.
-LEAF = 48
+LEAF = 16
+#: A vantage point is used if it leaves at most this share of the comparisons.
+WORTH = 0.85
 #: Fingerprints of a shard that one task searches together.
 SHARD = 4096
 #: One record in so many is counted to foresee large shards; it only decides on blocks.
 WATCH = 16
 
 
-def banding(similarity: Fraction) -> tuple[int, int]:
-    """(minimum hashes in a key, keys) by which a pair at the threshold shares a shard 49 in 50 times, most others always."""
-    s = float(similarity)
-    size = 3 if s < 0.65 else 4 if s < 0.75 else 5
-    return size, max(8, int(np.ceil(np.log(0.02) / np.log(1 - s**size))))
+def banding(similarity: Fraction) -> int:
+    """Keys of a text, so that a pair at the threshold shares a shard but MISS of the times, and more similar ones nearly always."""
+    return min(BITS // KEY, max(6, int(np.ceil(np.log(MISS) / np.log(1 - float(similarity) ** KEY + 1e-12)))))
 
 
 def radius(similarity: Fraction) -> int:
@@ -46,37 +51,37 @@ def radius(similarity: Fraction) -> int:
     return int(BITS * p + 3.8 * sqrt(BITS * p * (1 - p)) + 1)
 
 
-def _sketcher(width: int, least: int, size: int, keys: int):
+def _sketcher(width: int, least: int, keys: int):
     def sketch(batches):
         random = np.random.default_rng(20240229)
-        count = max(BITS, size * keys)
-        times = random.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1)
-        plus = random.integers(0, 1 << 63, count, dtype=np.uint64)
+        half = BITS // 2  # one half of the hashes is taken from each half of the 64 bits
+        times = random.integers(0, 1 << 32, (2, half), dtype=np.uint32) | np.uint32(1)
+        plus = random.integers(0, 1 << 32, (2, half), dtype=np.uint32)
         names = np.arange(1, keys + 1, dtype=np.uint64)
         known = WordCodes()
         for batch in batches:
-            ids, low, high, code0, code1, key = [], [], [], [], [], []
+            ids, low, high, codes, key = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(text, width, known) if text else ()
                 if len(h) < least:
                     continue
-                minima = (h[:2048, None] * times + plus).min(0)
-                for at in range(2048, len(h), 2048):
-                    minima = np.minimum(minima, (h[at : at + 2048, None] * times + plus).min(0))
-                minima >>= np.uint64(16)
-                bits = np.packbits((minima[:BITS] & np.uint64(1)).astype(np.uint8)).view(np.int64)
-                groups = minima[: size * keys].reshape(keys, size)
+                minima = np.full((2, half), 0xFFFFFFFF, np.uint32)
+                for at in range(0, len(h), 1024):
+                    part = h[at : at + 1024].view(np.uint32).reshape(-1, 2)
+                    for side in (0, 1):
+                        np.minimum(minima[side], (part[:, side, None] * times[side] + plus[side]).min(0), out=minima[side])
+                flat = minima.T.ravel()
                 k = names
-                for c in range(size):
-                    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + groups[:, c])
+                for c in flat[: KEY * keys].reshape(keys, KEY).T.astype(np.uint64):
+                    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + c)
                 ids.append(i)
                 low.append(int(h.sum(dtype=np.uint64).view(np.int64)))
                 high.append(int(np.bitwise_xor.reduce(mix(h)).view(np.int64)))
-                code0.append(int(bits[0]))
-                code1.append(int(bits[1]))
+                codes.append(np.packbits(((flat * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64))
                 key.append(k.view(np.int64))
-            longs = [pa.array(x, pa.int64()) for x in (ids, low, high, code0, code1)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(key, pa.list_(pa.int64()))], names=["id", "low", "high", "code0", "code1", "keys"])
+            flat = np.stack(codes) if codes else np.empty((0, BITS // 64), np.int64)
+            longs = [pa.array(x, pa.int64()) for x in (ids, low, high, *flat.T)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(key, pa.list_(pa.int64()))], names=["id", "low", "high", *CODES, "keys"])
 
     return sketch
 
@@ -99,21 +104,43 @@ def _across(codes, a, b, reach):
     stack = [(a, b)]
     while stack:
         a, b = stack.pop()
+        if not len(a) or not len(b):
+            continue
         if len(a) * len(b) <= LEAF * LEAF:
             yield from _block(codes, a, b, reach)
             continue
         if len(a) < len(b):
             a, b = b, a
         vantage = codes[a[0]]
-        da, db = _distance(codes[a], vantage), _distance(codes[b], vantage)
-        middle = int(np.median(da))
-        inner, outer = b[db <= middle + reach], b[db > middle - reach]
-        left, right = a[da <= middle], a[da > middle]
-        if not len(right) or len(inner) + len(outer) > 1.8 * len(b):
-            keep = (db >= da.min() - reach) & (db <= da.max() + reach)
-            yield from _block(codes, a, b[keep], reach)
+        da, db = _distance(codes[a], vantage), np.sort(_distance(codes[b], vantage))
+        s = np.sort(da)
+        ends = np.flatnonzero(s[1:] > s[:-1])
+
+        def near(low, high):
+            """How many of b may be within reach of what is low to high from the vantage point."""
+            return np.searchsorted(db, high + reach, "right") - np.searchsorted(db, low - reach, "left")  # noqa: B023
+
+        cost = (ends + 1) * near(s[0], s[ends]) + (len(a) - ends - 1) * near(s[ends + 1], s[-1])
+        if not len(ends) or cost.min() > WORTH * len(a) * len(b):
+            yield from _block(codes, a, b, reach)
             continue
-        stack += [(left, inner), (right, outer)]
+        bound = s[ends[cost.argmin()]]
+        db = _distance(codes[b], vantage)
+        for part, d in ((a[da <= bound], da[da <= bound]), (a[da > bound], da[da > bound])):
+            stack.append((part, b[(db >= d.min() - reach) & (db <= d.max() + reach)]))
+
+
+def _split(d: np.ndarray, reach: int) -> int | None:
+    """The distance at which to split, so that least is compared within the branches and across their boundary; None if no split saves enough."""
+    s = np.sort(d)
+    ends = np.flatnonzero(s[1:] > s[:-1])
+    if not len(ends):
+        return None
+    inner, outer = ends + 1, len(s) - ends - 1
+    across = np.maximum(inner - np.searchsorted(s, s[ends + 1] - reach, "left"), 0) * np.maximum(np.searchsorted(s, s[ends] + reach, "right") - inner, 0)
+    cost = (inner**2 + outer**2) / 2 + across
+    best = int(cost.argmin())
+    return int(s[ends[best]]) if cost[best] <= WORTH * len(s) ** 2 / 2 else None
 
 
 def vantage_pairs(codes: np.ndarray, reach: int):
@@ -121,31 +148,29 @@ def vantage_pairs(codes: np.ndarray, reach: int):
     stack = [np.arange(len(codes))]
     while stack:
         own = stack.pop()
-        if len(own) <= LEAF:
-            x, y = np.nonzero(np.triu(_distance(codes[own][:, None], codes[own][None]) <= reach, 1))
-            yield own[x], own[y]
-            continue
-        d = _distance(codes[own], codes[own[0]])
-        middle = int(np.median(d))
-        inner, outer = own[d <= middle], own[d > middle]
-        if not len(outer):  # ties; the nearer half against the vantage point's equals
-            inner, outer = own[d < middle], own[d >= middle]
-        if not len(inner) or not len(outer):
-            x, y = zip(*_block(codes, own, own, reach), strict=True)
-            x, y = np.concatenate(x), np.concatenate(y)
-            yield x[x < y], y[x < y]
+        bound = None
+        if len(own) > LEAF:
+            for point in (own[0], own[len(own) // 2], own[-1]):
+                d = _distance(codes[own], codes[point])
+                bound = _split(d, reach)
+                if bound is not None:
+                    break
+        if bound is None:  # a leaf, or all are as far from each other as from any vantage point
+            for x, y in _block(codes, own, own, reach):
+                yield x[x < y], y[x < y]
             continue
+        near = d <= bound
+        inner, outer, di, do = own[near], own[~near], d[near], d[~near]
         stack += [inner, outer]
-        di, do = d[np.isin(own, inner, assume_unique=True)], d[np.isin(own, outer, assume_unique=True)]
         yield from _across(codes, inner[di >= do.min() - reach], outer[do <= di.max() + reach], reach)
 
 
 def _searcher(reach: int):
     def groups(batches):
-        """(key, part, side, id, codes) of whole groups; rows come sorted by key and part."""
+        """(key, part, side, id, codes ...) of whole groups; rows come sorted by key and part."""
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + len(CODES))]
             if not len(cols[0]):
                 continue
             change = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
@@ -159,8 +184,8 @@ def _searcher(reach: int):
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def search(batches):
-        for key, part, side, ids, code0, code1 in groups(batches):
-            codes = np.stack([code0, code1], 1).view(np.uint64)
+        for key, part, side, ids, *columns in groups(batches):
+            codes = np.stack(columns, 1).view(np.uint64)
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             length = np.diff(np.r_[start, len(key)])
             found = []
@@ -190,7 +215,7 @@ def _blocks(index: DataFrame) -> DataFrame:
     large = cut(large.select("key", F.ceil(F.col("seen") / SHARD).cast("int").alias("n")))
     count = large.limit(BROADCAST_IDS + 1).count()
     if not count:  # no join, so the index is shuffled once
-        return index.select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "id", "code0", "code1")
+        return index.select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "id", *CODES)
     rows = index.join(F.broadcast(large) if count <= BROADCAST_IDS else large, "key", "left")
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("n").cast("bigint")).cast("int")
     meets = F.transform(
@@ -201,8 +226,8 @@ def _blocks(index: DataFrame) -> DataFrame:
         ),
     )
     alone = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("side")))
-    rows = rows.select("key", "id", "code0", "code1", F.explode(F.when(F.col("n").isNull(), alone).otherwise(meets)).alias("m"))
-    return rows.select("key", F.col("m.part").alias("part"), F.col("m.side").alias("side"), "id", "code0", "code1")
+    rows = rows.select("key", "id", *CODES, F.explode(F.when(F.col("n").isNull(), alone).otherwise(meets)).alias("m"))
+    return rows.select("key", F.col("m.part").alias("part"), F.col("m.side").alias("side"), "id", *CODES)
 
 
 def near_duplicates(texts: DataFrame, similarity: Fraction = Fraction(4, 5), width: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -212,17 +237,18 @@ def near_duplicates(texts: DataFrame, similarity: Fraction = Fraction(4, 5), wid
     ``width`` words (null and empty ones too) or without an id takes no part. Returns links(rep_a, rep_b,
     shared, united) with rep_a < rep_b and shared / united >= ``similarity``, exact, and
     members(id, rep): rep is the least id of the texts with the same set. A pair at the
-    threshold meets in a shard with probability 0.98 or more, which rises steeply above.
+    threshold meets in a shard with probability 0.999, which rises steeply above; the tree
+    search within a shard misses one in ten thousand.
     """
-    size, keys = banding(similarity)
     texts = texts.select("id", "text").filter(F.col("id").isNotNull())
-    sketch = texts.mapInArrow(_sketcher(width, least, size, keys), "id bigint, low bigint, high bigint, code0 bigint, code1 bigint, keys array<bigint>")
+    longs = ", ".join(f"{c} bigint" for c in ("id", "low", "high", *CODES))
+    sketch = texts.mapInArrow(_sketcher(width, least, banding(similarity)), f"{longs}, keys array<bigint>")
     sketch = cut(sketch)
     copies = sketch.groupBy("low", "high").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     copies = cut(sketch.join(copies, ["low", "high"]).select("id", "rep"))
     others = copies.filter(F.col("id") != F.col("rep")).select("id")
     members = sketch.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    index = sketch.join(others, "id", "left_anti").select(F.explode("keys").alias("key"), "id", "code0", "code1")
+    index = sketch.join(others, "id", "left_anti").select(F.explode("keys").alias("key"), "id", *CODES)
     shards = _blocks(index).repartition("key", "part").sortWithinPartitions("key", "part")
     met = cut(shards.mapInArrow(_searcher(radius(similarity)), "rep_a bigint, rep_b bigint").distinct())
 
