@@ -32,8 +32,8 @@ CODES = [f"code{i}" for i in range(BITS // 64)]
 KEY, MISS = 2, 0.001
 #: A tree's leaf is searched directly up to this many fingerprints.
 LEAF = 16
-#: A vantage point is used if it leaves at most this share of the comparisons.
-WORTH = 0.85
+#: A vantage point is used if it saves this many comparisons for each distance to it.
+WORTH = 8
 #: Fingerprints of a shard that one task searches together.
 SHARD = 4096
 #: One record in so many is counted to foresee large shards; it only decides on blocks.
@@ -51,37 +51,61 @@ def radius(similarity: Fraction) -> int:
     return int(BITS * p + 3.8 * sqrt(BITS * p * (1 - p)) + 1)
 
 
+#: Runs of words that are hashed together, of one text or many.
+TOGETHER = 512
+
+
+def _minima(sets: list[np.ndarray], times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    """The minimum of every hash over each of the sets, none empty; (sets, hashes)."""
+    values = np.concatenate(sets).view(np.uint32).reshape(-1, 2).T.copy()
+    ends = np.cumsum([0, *map(len, sets)]).tolist()
+    out = np.full((2, len(sets), times.shape[1]), 0xFFFFFFFF, np.uint32)
+    room = np.empty((TOGETHER, times.shape[1]), np.uint32)
+    for side in (0, 1):  # one half of the hashes is taken from each half of the 64 bits
+        text = 0
+        for at in range(0, ends[-1], TOGETHER):
+            part = values[side, at : at + TOGETHER]
+            hashed = np.multiply(part[:, None], times[side], out=room[: len(part)])
+            hashed += plus[side]
+            stop = at + len(part)
+            while True:
+                a, b = max(ends[text], at), min(ends[text + 1], stop)
+                own = hashed[a - at : b - at].min(0)
+                if a == ends[text]:
+                    out[side, text] = own
+                else:
+                    np.minimum(out[side, text], own, out=out[side, text])
+                if ends[text + 1] > stop or ends[text + 1] == ends[-1]:
+                    break
+                text += 1
+                if ends[text] == stop:
+                    break
+    return out.transpose(1, 2, 0).reshape(len(sets), -1)
+
+
 def _sketcher(width: int, least: int, keys: int):
     def sketch(batches):
         random = np.random.default_rng(20240229)
-        half = BITS // 2  # one half of the hashes is taken from each half of the 64 bits
-        times = random.integers(0, 1 << 32, (2, half), dtype=np.uint32) | np.uint32(1)
-        plus = random.integers(0, 1 << 32, (2, half), dtype=np.uint32)
-        names = np.arange(1, keys + 1, dtype=np.uint64)
+        times = random.integers(0, 1 << 32, (2, BITS // 2), dtype=np.uint32) | np.uint32(1)
+        plus = random.integers(0, 1 << 32, (2, BITS // 2), dtype=np.uint32)
         known = WordCodes()
         for batch in batches:
-            ids, low, high, codes, key = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingles(text, width, known) if text else ()
-                if len(h) < least:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t, width, known) if t else () for t in part.column(1).to_pylist()]
+                kept = [i for i, h in enumerate(sets) if len(h) >= max(1, least)]
+                sets = [sets[i] for i in kept]
+                if not sets:
                     continue
-                minima = np.full((2, half), 0xFFFFFFFF, np.uint32)
-                for at in range(0, len(h), 1024):
-                    part = h[at : at + 1024].view(np.uint32).reshape(-1, 2)
-                    for side in (0, 1):
-                        np.minimum(minima[side], (part[:, side, None] * times[side] + plus[side]).min(0), out=minima[side])
-                flat = minima.T.ravel()
-                k = names
-                for c in flat[: KEY * keys].reshape(keys, KEY).T.astype(np.uint64):
-                    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + c)
-                ids.append(i)
-                low.append(int(h.sum(dtype=np.uint64).view(np.int64)))
-                high.append(int(np.bitwise_xor.reduce(mix(h)).view(np.int64)))
-                codes.append(np.packbits(((flat * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64))
-                key.append(k.view(np.int64))
-            flat = np.stack(codes) if codes else np.empty((0, BITS // 64), np.int64)
-            longs = [pa.array(x, pa.int64()) for x in (ids, low, high, *flat.T)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(key, pa.list_(pa.int64()))], names=["id", "low", "high", *CODES, "keys"])
+                minima = _minima(sets, times, plus)
+                k = np.broadcast_to(np.arange(1, keys + 1, dtype=np.uint64), (len(sets), keys))
+                for c in range(KEY):
+                    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + minima[:, c : KEY * keys : KEY])
+                codes = np.packbits(((minima * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)
+                low = np.array([h.sum(dtype=np.uint64) for h in sets]).view(np.int64)
+                high = np.array([np.bitwise_xor.reduce(mix(h)) for h in sets]).view(np.int64)
+                key = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, keys), pa.int32()), pa.array(np.ascontiguousarray(k).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(low), pa.array(high), *map(pa.array, codes.T.copy()), key], names=["id", "low", "high", *CODES, "keys"])
 
     return sketch
 
@@ -121,7 +145,7 @@ def _across(codes, a, b, reach):
             return np.searchsorted(db, high + reach, "right") - np.searchsorted(db, low - reach, "left")  # noqa: B023
 
         cost = (ends + 1) * near(s[0], s[ends]) + (len(a) - ends - 1) * near(s[ends + 1], s[-1])
-        if not len(ends) or cost.min() > WORTH * len(a) * len(b):
+        if not len(ends) or cost.min() + WORTH * (len(a) + len(b)) > len(a) * len(b):
             yield from _block(codes, a, b, reach)
             continue
         bound = s[ends[cost.argmin()]]
@@ -140,7 +164,7 @@ def _split(d: np.ndarray, reach: int) -> int | None:
     across = np.maximum(inner - np.searchsorted(s, s[ends + 1] - reach, "left"), 0) * np.maximum(np.searchsorted(s, s[ends] + reach, "right") - inner, 0)
     cost = (inner**2 + outer**2) / 2 + across
     best = int(cost.argmin())
-    return int(s[ends[best]]) if cost[best] <= WORTH * len(s) ** 2 / 2 else None
+    return int(s[ends[best]]) if cost[best] + WORTH * len(s) <= len(s) ** 2 / 2 else None
 
 
 def vantage_pairs(codes: np.ndarray, reach: int):
