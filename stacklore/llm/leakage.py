@@ -1,83 +1,123 @@
 """Problem 9: evaluation passages in training text.
 
-Documents are partitioned down to the size of a passage: every ``passage`` consecutive
-words of a document or item form one set of short shingles, so that containment of one
-in the other shows in the minimum hash. The minimum hashes of a document's passages
-(about one in four words keeps a distinct one) are looked up among those of the items,
-which loses nothing, however short the item and long the document. What meets is
-verified by the exact words. Long documents are read in pieces that overlap by a passage.
+Size-partitioned containment search by minimum hashes. A passage of an item is the set of
+its runs of SHINGLE words; documents are read in overlapping pieces, one of which holds
+any passage whole. Pieces are partitioned by size: in a piece of u runs, a contained passage
+of q runs has similarity q / u, so a piece is looked up under as many minimum hashes as
+find that similarity but MISS of the times: one if it is as small as a passage, more the
+larger it is. The items' minimum hashes are a distributed index. What meets is verified
+on the words: the document must hold the passage, run by run and in order.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.llm.wordhash import WORD, WordCodes, runs
+from stacklore.functions.tables import BROADCAST_IDS
+from stacklore.llm.wordhash import WORD, WordCodes, mix, runs
+from stacklore.storage import cut
 
-#: Words of the shingles of which a passage is made.
-SHINGLE = 4
+#: Words of the runs of which a passage is made.
+SHINGLE = 5
+#: Pieces hold this many times the runs of a passage.
+LARGER = 2
+#: How often at most a contained passage shares no minimum hash with its piece.
+MISS = 1e-4
 #: Words of a document that are looked at together.
-PIECE = 65_536
-#: Characters of the item texts that are sent to the tasks at once.
-SHARD_CHARS = 8_000_000
+SLICE = 65_536
 
 
-def _minima(codes: np.ndarray, passage: int) -> np.ndarray:
-    """The minimum shingle hash of each passage of consecutive words."""
-    h = runs(codes, SHINGLE)
-    width = passage - SHINGLE + 1
-    if len(h) < width:
-        return np.empty(0, np.uint64)
-    span = 1
-    low = h
-    while span * 2 <= width:  # sliding minimum by doubling
+def bands(passage: int) -> list[int]:
+    """Minimum hashes for pieces by their number of runs; 0 where no passage fits."""
+    own = passage - SHINGLE + 1
+    sizes = range(own * LARGER + 1)
+    return [0 if u < own else 1 if u == own else int(np.ceil(np.log(MISS) / np.log(1 - own / u))) for u in sizes]
+
+
+def _hashes(codes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` hashes of every run of words; (runs, hashes)."""
+    random = np.random.default_rng(915)
+    times = random.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1)
+    return runs(codes, SHINGLE)[:, None] * times + times[::-1]
+
+
+def _minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The minima over every ``width`` consecutive rows."""
+    span, low = 1, hashes
+    while span * 2 <= width:  # by doubling
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    return np.minimum(low[: len(h) - width + 1], low[width - span : width - span + len(h) - width + 1])
-
-
-def _index(items: list[tuple[int, str]], passage: int):
-    known = WordCodes()
-    by_words: dict[tuple[str, ...], list[int]] = {}
-    minima = []
-    for i, text in items:
-        words = WORD.findall(text.lower())
-        low = _minima(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), passage)
-        minima.append(low)
-        for at in range(len(words) - passage + 1):
-            own = by_words.setdefault(tuple(words[at : at + passage]), [])
-            if not own or own[-1] != i:
-                own.append(i)
-    return np.unique(np.concatenate(minima)) if minima else np.empty(0, np.uint64), by_words
-
-
-def _finder(items: list[tuple[int, str]], passage: int):
-    def find(batches):
-        minima, by_words = _index(items, passage)
+    rest = width - span
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+
+
+def _keys(minima: np.ndarray) -> np.ndarray:
+    """A key for each minimum, different for different hash functions."""
+    return mix(minima * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, minima.shape[-1] + 1, dtype=np.uint64))
+
+
+def passage_keys(codes: np.ndarray, passage: int) -> np.ndarray:
+    """The keys of all passages of an item, distinct."""
+    own = passage - SHINGLE + 1
+    if len(codes) < passage:
+        return np.empty(0, np.uint64)
+    return np.unique(_keys(_minima(_hashes(codes, bands(passage)[-1]), own)))
+
+
+def piece_keys(codes: np.ndarray, passage: int) -> np.ndarray:
+    """The keys of all pieces of a document, distinct; each piece has those of its size."""
+    own, count = passage - SHINGLE + 1, bands(passage)
+    full, found = own * LARGER, []
+    step = full - own + 1  # so that every passage lies in a piece
+    for at in range(0, max(1, len(codes) - passage + 1), SLICE // step * step):
+        h = _hashes(codes[at : at + SLICE + full + SHINGLE], count[-1])
+        if len(h) >= full:
+            found.append(_keys(_minima(h, full)[::step]).ravel())
+        left = (max(0, len(h) - full) // step + 1) * step if len(h) >= full else 0
+        if len(h) - left >= own:  # the last piece is shorter
+            found.append(_keys(h[left:].min(0)[None])[0, : count[len(h) - left]])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def _sketcher(passage: int, keys_of):
+    def sketch(batches):
+        known = WordCodes()
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                words = WORD.findall(text.lower())
+                found.append(keys_of(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), passage).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "keys"])
+
+    return sketch
+
+
+def holds(document: list[str], item: list[str], passage: int, known: WordCodes) -> bool:
+    """Whether the document holds ``passage`` consecutive words of the item."""
+    a, b = (runs(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), passage) for w in (document, item))
+    for value in np.intersect1d(a, b):  # equal hashes; the words decide
+        wanted = [item[i : i + passage] for i in np.flatnonzero(b == value)]
+        if any(document[i : i + passage] in wanted for i in np.flatnonzero(a == value)):
+            return True
+    return False
+
+
+def _verifier(passage: int):
+    def verify(batches):
         known = WordCodes()
         for batch in batches:
             docs, hits = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = WORD.findall(text.lower())
-                if len(words) < passage or not len(minima):
-                    continue
-                found: set[int] = set()
-                for at in range(0, len(words) - passage + 1, PIECE):
-                    part = words[at : at + PIECE + passage - 1]
-                    low = _minima(np.fromiter(map(known.__getitem__, part), np.uint64, len(part)), passage)
-                    place = np.minimum(np.searchsorted(minima, low), len(minima) - 1)
-                    for x in np.flatnonzero(minima[place] == low).tolist():
-                        found.update(by_words.get(tuple(part[x : x + passage]), ()))
-                docs += [doc] * len(found)
-                hits += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
-
-    return find
+                own = [x["item_id"] for x in items if holds(words, WORD.findall(x["text"].lower()), passage, known)]
+                docs += [doc] * len(own)
+                hits += own
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "rep"])
+
+    return verify
 
 
 def leaks(documents: DataFrame, items: DataFrame, passage: int = 10) -> DataFrame:
@@ -85,16 +125,26 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 10) -> DataFram
 
     documents(doc_id bigint, text), items(item_id bigint, text). Null and empty texts and
     items shorter than a passage or without an id match nothing; repeated items are reported
-    each. The
-    items go to the tasks in parts of about SHARD_CHARS characters, each searched
-    against all documents.
+    each, and so are repeated documents. A passage that stands alone in a document is missed
+    MISS of the times at most; longer ones have a chance at each of their words. ``passage`` must
+    be SHINGLE words or more. The index is broadcast only if it was counted small; the corpus is
+    read once for it, and its candidates once more.
     """
-    texts = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text", F.length("text").alias("n"))
-    chars = texts.agg(F.sum("n")).first()[0] or 0
-    parts = -(-chars // SHARD_CHARS) or 1
+    texts = items.filter((F.length("text") > 0) & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    classes = cut(texts.groupBy("text").agg(F.min("item_id").alias("rep")).repartition(16))
+    index = classes.select("rep", "text").mapInArrow(_sketcher(passage, passage_keys), "id bigint, keys array<bigint>")
+    index = cut(index.select(F.explode("keys").alias("key"), F.col("id").alias("rep")))
+
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") > 0)
-    found = []
-    for part in range(parts):
-        own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("n", "item_id").select("item_id", "text").collect()
-        found.append(rows.mapInArrow(_finder([(r[0], r[1]) for r in own], passage), "doc_id bigint, item_id bigint"))
-    return reduce(DataFrame.unionByName, found)
+    row = F.xxhash64("doc_id", "text").alias("row")  # rows that share it are only verified more often
+    looked = rows.select(row, "text").mapInArrow(_sketcher(passage, piece_keys), "id bigint, keys array<bigint>").select(F.col("id").alias("row"), F.explode("keys").alias("key"))
+    small = index.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = cut(looked.join(F.broadcast(index) if small else index, "key").select("row", "rep").distinct())
+
+    asked = met.join(classes, "rep").groupBy("row").agg(F.collect_list(F.struct(F.col("rep").alias("item_id"), "text")).alias("items"))  # what the document met
+    few = met.select("row").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    held = rows.select("doc_id", "text", row)
+    if few:  # the texts stay where they are read, and only those that met something move
+        held = held.join(F.broadcast(met.select("row").distinct()), "row", "left_semi")
+    found = held.join(asked, "row").select("doc_id", "text", "items").mapInArrow(_verifier(passage), "doc_id bigint, rep bigint")
+    return found.join(texts.join(classes, "text").select("rep", "item_id"), "rep").select("doc_id", "item_id")

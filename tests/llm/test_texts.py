@@ -114,9 +114,9 @@ def leaked(spark, docs, items):
     return sorted(tuple(r) for r in leakage.leaks(d, q).collect())
 
 
-@pytest.mark.parametrize("chars", [8_000_000, 50])
-def test_leaks(spark, monkeypatch, chars):
-    monkeypatch.setattr(leakage, "SHARD_CHARS", chars)
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_leaks(spark, monkeypatch, ids):
+    monkeypatch.setattr(leakage, "BROADCAST_IDS", ids)
     words = ITEM.split()
     filler = [f"z{i}" for i in range(300)]
     docs = [
@@ -135,13 +135,21 @@ def test_rows_without_id(spark):
     assert sorted(r["tokens"] for r in rows) == [2, 3, 4, 10]
 
 
-def test_leaks_across_pieces(monkeypatch):
-    monkeypatch.setattr(leakage, "PIECE", 16)
-    words = ITEM.split()
-    for before in range(40):
-        batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([" ".join([*["z"] * before, *words[4:14], "z"])])], names=["doc_id", "text"])
-        out = list(leakage._finder([(3, ITEM)], 10)([batch]))
-        assert out[0].to_pylist() == [{"doc_id": 7, "item_id": 3}]
+@pytest.mark.parametrize("slice_", [21, 65_536])
+def test_a_passage_meets_one_of_the_pieces(monkeypatch, slice_):
+    monkeypatch.setattr(leakage, "SLICE", slice_)
+    random, known = np.random.default_rng(8), leakage.WordCodes()
+    for before in range(60):
+        for after in (0, 1, 9, 40):
+            item = [f"i{x}" for x in random.integers(0, 10**6, 14)]
+            doc = [*(f"z{x}" for x in random.integers(0, 10**6, before)), *item[2:12], *(f"z{x}" for x in random.integers(0, 10**6, after))]
+            a, b = (np.array([known[w] for w in t], np.uint64) for t in (item, doc))
+            assert len(np.intersect1d(leakage.passage_keys(a, 10), leakage.piece_keys(b, 10)))
+            assert leakage.holds(doc, item, 10, known) and not leakage.holds(doc, item, 11, known)
+
+
+def test_bands_by_size():
+    assert leakage.bands(10) == [0] * 6 + [1, 5, 7, 9, 11, 12, 14]
 
 
 CLEAN = ["Les données sont prêtes à être chargées, l’équipe a terminé.", "O módulo não está disponível na próxima versão.", "Die Prüfung läuft über gültige Schlüssel, später mehr.", "Обработчик должен проверить новые ссылки без перезапуска.", "It’s a café — “twice” for €5…", "plain ascii"]
