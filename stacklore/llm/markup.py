@@ -1,11 +1,13 @@
 """Problem 4: markup residue in text documents.
 
 A document is cut into flat blocks: code regions, displayed formulas and single lines.
-Each block has its word count, link density, leading mark, and the same of its
-neighbours; a decision tree trained on the small labelled table below tells headings,
-list items, code, formulas, tables, rules and running text apart. From the classified
-blocks readable text is put together that keeps headings, lists, code, formulas and tables
-in one plain notation; marks inside the running text are resolved.
+Each block has its word count, its link density and its leading mark, and the word count and
+link density of the blocks before and after it. A decision tree trained on the small
+labelled table below tells headings, list items, code, formulas, tables, rules, running
+text, text with links and rows of links (navigation, badges) apart. From the classified blocks
+readable text is put together that keeps headings, lists, code, formulas and tables
+in one plain notation. Links are resolved in the blocks that the tree says have them; other
+marks inside the running text (element 'inline') are resolved by patterns.
 """
 
 from __future__ import annotations
@@ -91,14 +93,15 @@ _UNDER = re.compile(r"\s*(?:={3,}|-{3,}|~{3,}|\^{3,})\s*$")
 _CELLS = re.compile(r"\s&\s|(?<!^)\s\|\s|\|\||\t")
 _WORD = re.compile(r"\w+")
 
-# Labelled lines for the tree, a letter and a line each: h heading, l list, c code, f formula, t table, r rule or empty mark, x text.
+# Labelled lines for the tree, a letter and a line each: h heading, l list, c code, f formula, t table, r rule or empty mark, x text, k text with
+# links. Of k, lines that are mostly links beside others of that kind are rows of links, b.
 # \x01 stands for a code region, \x020\x02 for a displayed formula. A blank line parts paragraphs.
 _LABELLED = r"""
 h|# Title of it
 x|This is the opening paragraph of a longer page, and it says what the page is about.
 
 h|## Usage
-x|Run it, then look at the [guide](https://a.example/x) for more words on how it goes.
+k|Run it, then look at the [guide](https://a.example/x) for more words on how it goes.
 l|- one
 l|- two small things
 l|- three of the things that take a whole long line to be told about in full detail here
@@ -107,9 +110,9 @@ h|### Limits ###
 l|* first
 l|** nested below the first
 l|* [only a link](https://a.example/y)
-x|See [it](https://a.example/z).
-x|![picture](https://a.example/p.svg)
-x|[ref]: https://a.example/r
+k|See [it](https://a.example/z).
+k|![picture](https://a.example/p.svg)
+k|[ref]: https://a.example/r
 
 h|Overview
 r|========
@@ -168,8 +171,8 @@ l|<LI>another one of some length, with words</LI>
 l|</ul>
 t|<table><tr><td>a</td><td>6</td></tr></table>
 t|<tr><td>a</td></tr>
-x|<a href="https://a.example/q">guide</a>
-x|<img src="https://a.example/q.png" alt="guide">
+k|<a href="https://a.example/q">guide</a>
+k|<img src="https://a.example/q.png" alt="guide">
 x|<div align=center>
 x|<br/>
 x|</p>
@@ -183,51 +186,73 @@ x|The layout is:
 x|├── cache of it
 x|│   └── shell
 x|A word & another, R&D, and this | that.
+k|[Home](https://a.example) | [Docs](https://a.example/d) | [Chat](https://a.example/c)
+k|[Docs](https://a.example/d) [Chat](https://a.example/c)
+k|[![build](https://a.example/b.svg)](https://a.example/b)
+k|<https://a.example/auto>
+k|The text of \href{https://a.example/h}{the manual} says more.
+k|A page [[Other page|of the wiki]] and [https://a.example/o another one] tell more about what it is.
+x|<b>Bold</b> words in a line, and an <i>odd</i> one.
 """
 
+#: From this link density on a line is mostly links.
+_DENSE = 0.5
+
+
 
 class Block:
-    __slots__ = ("density", "kind", "label", "level", "text", "under", "words", "cells", "blank")
+    __slots__ = ("density", "kind", "text", "under", "words", "cells", "blank")
 
-    def __init__(self, text: str, blank: bool):
+    def __init__(self, text: str, blank: bool, density: float):
         m = _LEAD.match(text)
         lead = m.lastgroup if m else None
         if lead == "tag":
             lead = "t-" + _BUILDS.get(m["tag"].lstrip("/").lower(), "inline")
             lead = "none" if lead == "t-code" else lead
         self.kind = _KIND[lead or "none"]
-        self.text, self.blank, self.under = text, blank, False
+        self.text, self.blank, self.density = text, blank, density
+        self.under = bool(_UNDER.match(text))
         self.words = len(_WORD.findall(text)) if len(text) < 400 else text.count(" ") + 1
-        self.density = 0.0
-        if "[" in text or "<a" in text or "\\href" in text or "\\url" in text:
-            self.density = min(1.0, sum(len(x.group()) for x in _LINK.finditer(text)) / max(1, len(text)))
         self.cells = len(_CELLS.findall(text)) if "&" in text or "|" in text or "\t" in text else 0
 
 
+#: What _features returns, in order; the leading marks follow.
+FEATURES = (
+    "words", "density", "words before", "density before", "words after", "density after",
+    "blank before", "blank after", "same mark before", "same mark after", "no mark before", "line", "line after", "cells", "row end",
+)
+
+
 def _features(blocks: list[Block]) -> np.ndarray:
-    """Words, link density, cells and leading mark of each block, and of its neighbours."""
+    """Word count and link density of each block and of the blocks before and after, how it is set off from them, and its leading mark."""
     n = len(blocks)
-    own = np.array([(b.words, b.density, b.cells, b.under, b.blank, b.kind, b.text.rstrip().endswith("\\\\")) for b in blocks], float).reshape(n, 7)
-    edge = np.array([[0, 0, 0, 0, 1, 0, 0]], float)
+    own = np.array([(b.words, b.density, b.blank, b.kind, b.under, b.cells, b.text.rstrip().endswith("\\\\")) for b in blocks], float).reshape(n, 7)
+    words, density, blank, kind, under, cells, end = own.T
+    edge = np.array([[0, 0, 1, -1, 0, 0, 0]], float)
     before, after = np.vstack([edge, own[:-1]])[:n], np.vstack([own[1:], edge])[:n]
-    marks = np.eye(len(_KINDS))[own[:, 5].astype(int)]
-    touches_before = (before[:, 5] == own[:, 5]) & (own[:, 4] == 0) & (own[:, 5] > 0)
-    touches_after = (after[:, 5] == own[:, 5]) & (after[:, 4] == 0) & (own[:, 5] > 0)
-    next_under = (after[:, 3] > 0) & (after[:, 4] == 0)
-    under_text = (own[:, 3] > 0) & (own[:, 4] == 0) & (before[:, 5] == 0)
-    return np.column_stack([marks, touches_before | touches_after, next_under, under_text, own[:, 6], own[:, :4], before[:, :3], after[:, :3]])
+    same_before = (before[:, 3] == kind) & (blank == 0)
+    same_after = (after[:, 3] == kind) & (after[:, 2] == 0)
+    shape = [words, density, before[:, 0], before[:, 1], after[:, 0], after[:, 1], blank, after[:, 2], same_before, same_after, before[:, 3] == 0, under, after[:, 4], cells, end]
+    return np.column_stack([*shape, np.eye(len(_KINDS))[kind.astype(int)]])
 
 
 def _lines(text: str) -> list[Block]:
-    blocks, blank = [], True
+    """The lines of a text as blocks. A line's link density is the share of it that stands in links."""
+    links = [m.span() for m in _LINK.finditer(text)] if "[" in text or "<" in text or "\\" in text else []
+    blocks, blank, at, k = [], True, 0, 0
     for line in text.split("\n"):
-        if not line.strip():
-            blank = True
-            continue
-        block = Block(line, blank)
-        block.under = bool(_UNDER.match(line))
-        blocks.append(block)
-        blank = False
+        end = at + len(line)
+        inside = 0
+        while k < len(links) and links[k][1] <= at:
+            k += 1
+        for start, stop in links[k:]:
+            if start >= end:
+                break
+            inside += min(stop, end) - max(start, at)
+        if line.strip():
+            blocks.append(Block(line, blank, inside / len(line)))
+        blank = not line.strip()
+        at = end + 1
     return blocks
 
 
@@ -251,27 +276,35 @@ def classifier() -> DecisionTree:
     """The tree, trained on pages put together from the labelled lines above.
 
     The lines are a bounded table, part of this module. They are dealt at random (fixed
-    seed) to 150 pages, alone or in runs of their kind and shortened or lengthened, so
+    seed) to 400 pages, alone or in runs of their kind and shortened or lengthened, so
     that the tree does not rest on the neighbours and lengths they happen to have.
     """
     random, units = np.random.default_rng(4), _units()
     labels, features = [], []
-    for _ in range(150):
+    for _ in range(400):
         rows: list[tuple[str, str]] = []
         for k in random.integers(0, len(units), 12):
             unit = units[k]
-            for _ in range(random.integers(1, 4) if unit[0][0] in "lt" else 1):
+            if unit[0][0] == "r":  # else the line before it would be a heading
+                rows.append(("", ""))
+            for _ in range(random.integers(1, 4) if unit[0][0] in "ltk" else 1):
                 for label, line in unit:
                     words = line.split(" ")
                     if label == "x" and len(words) > 3 and random.random() < 0.5:
                         line = " ".join((words * 4)[: random.integers(2, 4 * len(words))])
+                    elif label == "k" and len(words) > 4 and random.random() < 0.5:  # a link in a line of any length
+                        line += " word" * int(3000 ** random.random())
                     elif label in "hl" and len(words) > 2 and random.random() < 0.3:
                         line = " ".join([*words[:2], *[words[1]] * random.integers(0, 12), *words[2:]])
                     rows.append((label, line))
-            if random.random() < 0.8 or unit[-1][0] in "hr" or unit[0][0] == "x":
+            if random.random() < (0.6 if unit[0][0] in "hxk" else 0.8) or unit[0][0] == "r":
                 rows.append(("", ""))
-        labels += [r[0] for r in rows if r[1].strip()]
-        features.append(_features(_lines("\n".join(r[1] for r in rows))))
+        blocks = _lines("\n".join(r[1] for r in rows))
+        own = [r[0] for r in rows if r[1].strip()]
+        mostly = [label == "k" and b.density >= _DENSE for label, b in zip(own, blocks, strict=True)]
+        beside = [x or y for x, y in zip([False, *mostly[:-1]], [*mostly[1:], False], strict=True)]
+        labels += ["b" if m and s else label for label, m, s in zip(own, mostly, beside, strict=True)]
+        features.append(_features(blocks))
     return DecisionTree(np.vstack(features), np.array(labels))
 
 
@@ -330,9 +363,9 @@ def _tag(found: set[str]):
     return replace
 
 
-def _plain(text: str, found: set[str]) -> str:
-    """Resolves links, tags and inline marks; notes what there was."""
-    if "[" in text or "<" in text or "\\" in text:
+def _plain(text: str, found: set[str], links: bool = True) -> str:
+    """Resolves links, if there may be any, tags and inline marks; notes what there was."""
+    if links and ("[" in text or "<" in text or "\\" in text):
         text = _LINK.sub(_link(found), text)
     if "<!--" in text:
         text, n = re.subn(r"<!--.*?(?:-->|\Z)", "", text, flags=re.S)
@@ -346,7 +379,7 @@ def _plain(text: str, found: set[str]) -> str:
     return text
 
 
-_NAMES = {"h": "heading", "l": "list", "c": "code", "f": "formula", "t": "table", "r": None, "x": None}
+_NAMES = {"h": "heading", "l": "list", "c": "code", "f": "formula", "t": "table", "k": "link", "b": "link", "r": None, "x": None}
 _HEAD = re.compile(r"^\s*(?:#{1,6}\s*|={1,6}\s*|\\[a-z]+\*?\s*\{)|\s*(?:#+|=+|\})\s*$")
 _ITEM = re.compile(r"^\s*(?:[-+•*#:;]+\s+|\d{1,4}[.)]\s+|\\item(?:\[[^\]]*\])?\s*)")
 
@@ -358,20 +391,23 @@ def render(blocks: list[Block], labels: np.ndarray, codes: list[str], formulas:
         found.add("formula")
     out: list[str] = []
     run: list[str] = []  # lines of a running paragraph, resolved together
+    linked = False
     code = iter(codes)
 
     def flush():
         if run:
-            text = _plain("\n".join(run), found)
+            text = _plain("\n".join(run), found, linked)
             out.extend(["", *(s for s in (re.sub(r"[ \t]+", " ", x).strip() for x in text.split("\n")) if s)])
             run.clear()
 
     last = ""
     for block, label in zip(blocks, labels.tolist(), strict=True):
-        if label != "x" or block.blank:
+        if label not in "xkb" or block.blank:
             flush()
-        if label == "x":
+            linked = False
+        if label in "xkb":
             run.append(block.text)
+            linked |= label != "x"
         elif label == "c":
             out += ["", "```", next(code, ""), "```"]
         elif label == "h":

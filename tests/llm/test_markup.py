@@ -94,7 +94,7 @@ l|12. twelfth
 t|| x | y | z |
 t||:---|:--|
 x|**Bold** start of a line
-x|[Link](https://b.example) start of a line
+k|[Link](https://b.example) start of a line
 h|<h4>Small head</h4>
 l|<li>item</li>
 t|<td>cell</td>
@@ -130,3 +130,21 @@ def test_unclosed_marks_do_not_take_quadratic_time(mark):
     began = time.process_time()
     markup.clean([mark * 20_000])
     assert time.process_time() - began < 2
+
+
+def test_the_tree_rests_on_words_and_link_density_of_a_block_and_its_neighbours():
+    used = {markup.FEATURES[f] for f, *_ in markup.classifier().nodes if 0 <= f < len(markup.FEATURES)}
+    assert {"words", "density"} <= used and used & {"density before", "density after"} and used & {"words before", "words after", "blank after", "same mark before"}
+    page = "Words that tell of [it](https://a.example/1) at length and go on.\n\n[a](https://a.example/2) [b](https://a.example/3)\n[c](https://a.example/4)\n\nPlain words at the end of it."
+    rows = markup._features(markup._lines(page))
+    assert markup.classifier().predict(rows).tolist() == ["k", "b", "b", "x"]
+    rows[:, [markup.FEATURES.index(f) for f in ("density", "density before", "density after")]] = 0
+    assert set(markup.classifier().predict(rows)) == {"x"}
+
+
+def test_link_density_of_lines():
+    text = "no link\n[a](b) and more\n<a\nhref='x'>y</a>\n" + "word " * 5000 + "[a](b)"
+    blocks = markup._lines(text)
+    assert [b.density > 0 for b in blocks] == [False, True, True, True, True]
+    assert blocks[1].density == 6 / 15
+    assert markup.clean([text])[0][1] >= {"link"}
