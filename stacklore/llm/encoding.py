@@ -4,22 +4,36 @@ Noisy-channel decoding. A channel says in which encoding bytes were written and
 they were read. Undoing it turns a token's characters into bytes again; a character that
 stands for a lost byte becomes a wildcard, and the lattice of all bytes that could
 stand there is decoded. What comes out is scored by the words and letter pairs of the
-whole corpus. A Viterbi search over the tokens of a document chooses the spans that were
-damaged, and by which channel. Samples quoted between back-ticks are left alone.
+whole corpus; the token itself by the letter pairs of all other tokens. How often a channel
+damages tokens is learned from those that are plain cases. A Viterbi search over the tokens of
+a document chooses the spans that were damaged, and by which channel. Samples quoted between
+back-ticks are left alone.
+
+Every distinct token is resolved once, and its readings are looked up in the table of all
+words, so that no word is left out of the model; only the letter pairs are held in memory, as counts
+in a fixed number of cells.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
+from collections.abc import Iterable
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words and letter pairs of the language model, the most frequent of the whole corpus.
-WORDS, PAIRS = 100_000, 100_000
+from stacklore.functions.tables import semi_by_ids
+from stacklore.storage import cut
+
+#: Cells in which letter pairs are counted; pairs that fall into one cell are counted together.
+CELLS = 1 << 20
+#: Readings of tokens that are broadcast at most, after they were counted.
+READINGS = 100_000
 #: Encodings in which UTF-8 bytes were read, and (read, written) of one-byte encodings. Fixed values.
 READ_UTF8 = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_15", "koi8_r", "cp866")
 ONE_BYTE = (
@@ -39,6 +53,8 @@ CARRY = 1.0
 WILDCARDS = 2
 LOST = "�"
 
+_SHAPE = "lost bytes; "
+
 _QUOTED = re.compile(r"`[^`\n]*`")
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 _EDGE = ".,;:!?()\"'"
@@ -157,31 +173,56 @@ def _suspicious(token: str) -> bool:
     return False
 
 
+def _cell(a: str, b: str) -> int:
+    return ((ord(a) * 0x9E3779B1 + ord(b)) * 0x85EBCA6B >> 17) & (CELLS - 1)
+
+
+def _learn(counts: Iterable[tuple[str, int]]) -> dict[tuple[int, int], int]:
+    """Counts by (kind, key): cells of letter pairs (0), first letters of pairs (1), second letters (2)."""
+    out: dict[tuple[int, int], int] = {}
+    for token, n in counts:
+        for a, b in itertools.pairwise(f"\x02{token}\x03"):
+            for key in ((0, _cell(a, b)), (1, ord(a)), (2, ord(b))):
+                out[key] = out.get(key, 0) + n
+    return out
+
+
 class Model:
-    """Scores of tokens by corpus word counts and letter pairs; made from bounded tables."""
+    """Scores of tokens by the letter pairs of the corpus."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int]):
-        self.words = words
-        self.total = max(1, sum(words.values()))
-        self.pairs = pairs
+    def __init__(self, counts: Iterable[tuple[int, int, int]]):
+        """From (kind, key, n) as ``_learn`` counts them."""
+        self.cells = np.zeros(CELLS, np.int64)
         self.first: dict[str, int] = {}
-        for pair, n in pairs.items():
-            self.first[pair[0]] = self.first.get(pair[0], 0) + n
         self.letters: dict[str, int] = {}
-        for pair, n in pairs.items():
-            self.letters[pair[1]] = self.letters.get(pair[1], 0) + n
-        self.all = max(1, sum(pairs.values()))
-        self.shapes: dict[str, tuple[int, str]] = {}
-        for word, n in words.items():
-            shape = re.sub(r"[^\x00-\x7f]", LOST, word)
-            self.shapes[shape] = max(self.shapes.get(shape, (0, "")), (n, word))
-        self.seen: dict[str, list[tuple[str, str, float, float]]] = {}
+        for kind, key, n in counts:
+            if kind:
+                (self.first if kind == 1 else self.letters)[chr(key)] = n
+            else:
+                self.cells[key] = n
+        self.all = max(1, sum(self.letters.values()))
         self.filled: dict[tuple, list[str]] = {}
 
-    def step(self, a: str, b: str) -> float:
-        """The score of letter b after a."""
-        n = self.pairs.get(a + b, 0)
-        return log(n / self.first[a]) if n else _UNSEEN + (log(self.letters[b] / self.all) if b in self.letters else log(0.1 / self.all) + _UNSEEN)
+    @classmethod
+    def of(cls, tokens: dict[str, int]) -> Model:
+        return cls((kind, key, n) for (kind, key), n in _learn(tokens.items()).items())
+
+    def step(self, a: str, b: str, pair: int = 0, first: int = 0, second: int = 0) -> float:
+        """The score of letter b after a, less so many occurrences of them."""
+        n, m = self.cells.item(_cell(a, b)) - pair if a else 0, self.first.get(a, 0) - first
+        if n > 0 and m > 0:
+            return min(0.0, log(n / m))
+        k = self.letters.get(b, 0) - second
+        return _UNSEEN + (log(k / self.all) if k > 0 else log(0.1 / self.all) + _UNSEEN)
+
+    def score(self, form: str, own: int = 0) -> float:
+        """The score of a token by its letter pairs, less what ``own`` occurrences of it taught."""
+        text = f"\x02{form}\x03"
+        pairs = list(itertools.pairwise(text))
+        if not own:
+            return sum(self.step(a, b) for a, b in pairs)
+        twice, first, second = Counter(pairs), Counter(text[:-1]), Counter(text[1:])
+        return sum(self.step(a, b, own * twice[a, b], own * first[a], own * second[b]) for a, b in pairs)
 
     def best(self, size: int, choices) -> str | None:
         """The text of greatest score by letter pairs; choices(i): (next place, letters) of what can stand at place i.
@@ -254,62 +295,37 @@ class Model:
         best = self.best(len(token), lambda i: [(i + 1, letters[i])])
         return [] if best is None else [best]
 
-    def score(self, token: str) -> float:
-        form = _form(token)
-        n = self.words.get(form, 0)
-        known = log(n / self.total) if n else -1e9
-        letters = 0.0
-        for a, b in itertools.pairwise(f"\x02{form}\x03"):
-            n = self.pairs.get(a + b, 0)
-            letters += log(n / self.first[a]) if n else _UNSEEN + (log(self.letters[b] / self.all) if b in self.letters else log(0.1 / self.all) + _UNSEEN)
-        return max(known, letters)
-
-    def options(self, token: str) -> list[tuple[str, str, float, float]]:
-        """(channel, text, gain over the token as it stands, cost to enter)."""
-        options = self.seen.get(token)
-        if options is None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            options, own = [], self.score(token)
-            for channel, text, count in restorations(token, self):
-                gain = self.score(text) - own + SEQUENCE * count - MIXED * bool(_MIXED.search(text))
-                gain += CONTROL * (len(_CONTROL.findall(token)) - len(_CONTROL.findall(text)))
-                if gain > -8:
-                    options.append((channel, text, gain, ENTER_UTF8 if channel.startswith("utf-8") else ENTER_BYTE))
-            if LOST in token:
-                n, word = self.shapes.get(_form(token), (0, ""))
-                if n:
-                    options.append(("lost bytes; ", word, 50.0, 0.0))
-            self.seen[token] = options
-        return options
-
-    def decode(self, tokens: list[str]) -> list[tuple[str, str]]:
-        """The best (channel, text) of each token; channel '' where nothing was wrong."""
-        states: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
-        for token in tokens:
-            best = max(states.items(), key=lambda s: s[1][0])
-            new = {"": (best[1][0], (best[1][1], "", token))}
-            for channel, (score, path) in states.items():  # a sound token within a damaged span
-                if channel and score - CARRY > best[1][0] - ENTER_BYTE:
-                    new[channel] = (score - CARRY, (path, "", token))
-            for channel, text, gain, enter in self.options(token):
-                stay = states.get(channel, (-1e18, None))
-                score, path = stay if stay[0] >= best[1][0] - enter else (best[1][0] - enter, best[1][1])
-                if score + gain > new.get(channel, (-1e18,))[0]:
-                    new[channel] = (score + gain, (path, channel, text))
-            states = new
-        path = max(states.values(), key=lambda s: s[0])[1]
-        out = []
-        while path is not None:
-            out.append((path[1], path[2]))
-            path = path[0]
-        return out[::-1]
 
+def decode(tokens: list[str], options: dict[str, list]) -> list[tuple[str, str]]:
+    """The best (channel, text) of each token form; channel '' where nothing was wrong.
 
-def repair(text: str, model: Model) -> tuple[str, list[str], bool]:
+    options: by token, its readings as (channel, text, gain over the token, cost to enter the channel).
+    """
+    states: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
+    for token in tokens:
+        best = max(states.items(), key=lambda s: s[1][0])
+        new = {"": (best[1][0], (best[1][1], "", token))}
+        for channel, (score, path) in states.items():  # a sound token within a damaged span
+            if channel and score - CARRY > best[1][0] - ENTER_BYTE:
+                new[channel] = (score - CARRY, (path, "", token))
+        for channel, text, gain, enter in options.get(token, ()):
+            stay = states.get(channel, (-1e18, None))
+            score, path = stay if stay[0] >= best[1][0] - enter else (best[1][0] - enter, best[1][1])
+            if score + gain > new.get(channel, (-1e18,))[0]:
+                new[channel] = (score + gain, (path, channel, text))
+        states = new
+    path = max(states.values(), key=lambda s: s[0])[1]
+    out = []
+    while path is not None:
+        out.append((path[1], path[2]))
+        path = path[0]
+    return out[::-1]
+
+
+def repair(text: str, options: dict[str, list]) -> tuple[str, list[str], bool]:
     """(restored text, channels undone, whether damage is left)."""
     quoted = [m.span() for m in _QUOTED.finditer(text)]
-    spans, tokens, q = [], [], 0
+    spans, tokens = [], []
     for m in _TOKEN.finditer(_QUOTED.sub(lambda m: " " * len(m.group()), text) if quoted else text):
         word = m.group()
         if word.isascii():
@@ -320,58 +336,123 @@ def repair(text: str, model: Model) -> tuple[str, list[str], bool]:
         tokens.append(core)
     if not tokens:
         return text, [], False
-    decoded = model.decode(tokens)
     out, at, channels, open_damage = [], 0, set(), False
-    for (start, end), token, (channel, new) in zip(spans, tokens, decoded, strict=True):
+    for (start, end), token, (channel, new) in zip(spans, tokens, decode([_form(t) for t in tokens], options), strict=True):
         if channel:
             channels.add(channel.strip("; "))
-            if channel == "lost bytes; ":  # the model's word has its digits folded
-                numbers = iter(_DIGIT.findall(token))
-                new = _DIGIT.sub(lambda m: next(numbers, m.group()), new)
+            numbers = iter(_DIGIT.findall(token))  # readings have their digits folded
+            new = _DIGIT.sub(lambda m: next(numbers, m.group()), new)  # noqa: B023
+        else:
+            new = token
         out += [text[at:start], new]
         at = end
         open_damage |= LOST in new or bool(_CONTROL.search(new))
     return "".join([*out, text[at:]]), sorted(channels), open_damage
 
 
+def _forms(text: Column) -> Column:
+    """The tokens of a text that have a character beyond ASCII, outside back-ticks, without edges and with their digits folded."""
+    unquoted = F.regexp_replace(text, "`[^`\\n]*`", " ")
+    words = F.regexp_extract_all(unquoted, F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    return F.transform(F.filter(words, lambda w: w.rlike(r"[^\x00-\x7f]")), lambda w: F.regexp_replace(F.btrim(w, F.lit(_EDGE)), "[0-9]+", "0"))
+
+
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
     """(token, n) of all tokens with a character beyond ASCII, over the whole corpus; digits folded."""
-    unquoted = F.regexp_replace(F.col(text), "`[^`\\n]*`", " ")
-    words = F.regexp_extract_all(unquoted, F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
-    token = F.explode(F.filter(words, lambda w: w.rlike(r"[^\x00-\x7f]")))
-    cored: Column = F.regexp_replace(F.btrim("token", F.lit(_EDGE)), "[0-9]+", "0")
-    return texts.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(token.alias("token")).select(cored.alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.explode(_forms(F.col(text))).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _judge(batches):
+    """Adds whether the token looks sound, so that it may teach the model."""
+    for batch in batches:
+        sound = [not _suspicious(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sound, pa.bool_())], names=["token", "n", "sound"])
 
 
 def _teach(batches):
-    """Letter pairs and words of the tokens that look sound."""
     for batch in batches:
-        keys: list[str] = []
-        kinds: list[bool] = []
-        counts: list[int] = []
-        pairs: dict[str, int] = {}
-        for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if len(token) > 200 or _suspicious(token):
-                continue
-            keys.append(token)
-            kinds.append(True)
-            counts.append(n)
-            for a, b in itertools.pairwise(f"\x02{token}\x03"):
-                pairs[a + b] = pairs.get(a + b, 0) + n
-        keys += pairs
-        kinds += [False] * len(pairs)
-        counts += pairs.values()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(kinds, pa.bool_()), pa.array(counts, pa.int64())], names=["key", "word", "n"])
-
-
-def train(texts: DataFrame, text: str) -> tuple[dict[str, int], dict[str, int]]:
-    """Word and letter-pair counts over all texts; the most frequent WORDS and PAIRS are kept."""
-    learned = token_counts(texts, text).mapInArrow(_teach, "key string, word boolean, n bigint").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    learned = learned.persist()
-    words = learned.filter("word").orderBy(F.desc("n"), "key").limit(WORDS).collect()
-    pairs = learned.filter("NOT word").orderBy(F.desc("n"), "key").limit(PAIRS).collect()
-    learned.unpersist()
-    return {r["key"]: r["n"] for r in words}, {r["key"]: r["n"] for r in pairs}
+        counts = _learn(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        kinds, keys = zip(*counts, strict=True) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts.values(), pa.int64())], names=["kind", "key", "n"])
+
+
+def train(tokens: DataFrame) -> Model:
+    """Letter pairs of all sound tokens(token, n, sound): at most CELLS rows and two for every letter come to the driver."""
+    learned = tokens.filter("sound").select("token", "n").mapInArrow(_teach, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    return Model(zip(*(learned.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True))
+
+
+def _reader(model: Model, total: float):
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for token, n, sound in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                alone = model.score(token, n if sound else 0)
+                own = max(model.score(token), log(n / total)) if sound else alone
+                marks = len(_CONTROL.findall(token))
+                for channel, text, count in restorations(token, model):
+                    bonus = SEQUENCE * count - MIXED * bool(_MIXED.search(text)) + CONTROL * (marks - len(_CONTROL.findall(text)))
+                    rows.append((token, n, channel, text, model.score(text) - own + bonus, bonus - own, bonus - alone))
+                if LOST in token:  # the most used word of that shape is looked up
+                    rows.append((token, n, _SHAPE, token, -1e9, -own, -alone))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 3)
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["token", "n", "channel", "text", "by_letters", "by_word", "by_better"])
+
+    return read
+
+
+#: A reading that is a word FREQUENT times as frequent as the token, which has more than a letter.
+FREQUENT = 4
+
+
+def _clearer() -> Column:
+    return (F.col("times") >= FREQUENT * F.col("n")) & (F.length("token") > 1)
+
+
+def readings(tokens: DataFrame) -> DataFrame:
+    """(token, channel, text, gain, enter): the readings of tokens(token, n, sound) that may be better than the tokens as they stand.
+
+    A reading is scored by its letter pairs or as a word of the corpus, whichever is better, and
+    so is the token. Beside a reading that is a more frequent word, the token counts as new: the
+    occurrences of a damaged word do not speak for it. A one-byte channel costs ENTER_BYTE to
+    enter; for a more frequent word it costs what the channel's share of all tokens says, as
+    far as plain cases were seen.
+    """
+    total = float(max(1, tokens.agg(F.sum("n")).first()[0] or 0))
+    read = tokens.mapInArrow(_reader(train(tokens), total), "token string, n bigint, channel string, text string, by_letters double, by_word double, by_better double")
+    sound = tokens.filter("sound")
+    words = sound.select(F.col("token").alias("text"), F.col("n").alias("times"))
+    shapes = sound.groupBy(F.regexp_replace("token", r"[^\x00-\x7f]", LOST).alias("text")).agg(F.max(F.struct("n", "token")).alias("most"))
+    read = cut(read)
+    known = read.filter(F.col("channel") != _SHAPE).join(words, "text", "left")
+    lost = read.filter(F.col("channel") == _SHAPE).join(shapes, "text").select(F.col("most.token").alias("text"), *[c for c in read.columns if c != "text"], F.col("most.n").alias("times"))
+    better = F.when(_clearer(), F.col("by_better")).otherwise(F.col("by_word"))
+    gain = F.greatest("by_letters", better + F.log(F.col("times") / total))
+    scored = known.unionByName(lost).withColumn("gain", gain).filter(F.col("gain") > -CARRY)  # else a damaged span rather goes on over it
+    narrow = ~F.col("channel").startswith("utf-8") & (F.col("channel") != _SHAPE)
+    enter = F.when(narrow, F.lit(ENTER_BYTE)).when(F.col("channel") == _SHAPE, 0.0).otherwise(F.lit(ENTER_UTF8))
+    scored = cut(scored.select("token", "n", "channel", "text", "gain", "times", enter.alias("enter"), narrow.alias("narrow")))
+    plain = scored.groupBy("token", "n").agg(F.max(F.struct(F.col("gain") - F.col("enter"), "channel", "narrow")).alias("best")).filter((F.col("best.col1") > 0) & F.col("best.narrow"))
+    share = {r["channel"]: r["n"] / total for r in plain.groupBy("best.channel").agg(F.sum("n").alias("n")).collect()}  # a row per channel
+    learned = F.lit(ENTER_BYTE)
+    for channel, part in sorted(share.items()):
+        learned = F.when(F.col("channel") == channel, F.lit(max(ENTER_UTF8, min(ENTER_BYTE, -log(part))))).otherwise(learned)
+    return scored.select("token", "channel", "text", "gain", F.when(F.col("narrow") & _clearer(), learned).otherwise(F.col("enter")).alias("enter"))
+
+
+def _repairer(batches):
+    for batch in batches:
+        rows = []
+        for i, text, read in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            options = {r["token"]: [(x["channel"], x["text"], x["gain"], x["enter"]) for x in r["options"]] for r in read}
+            restored, channels, left = repair(text, options)
+            if channels or left:
+                rows.append((i, restored, channels, not left))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "restored", "channels", "complete"])
 
 
 def repair_encoding(texts: DataFrame) -> DataFrame:
@@ -379,21 +460,18 @@ def repair_encoding(texts: DataFrame) -> DataFrame:
 
     Returns id, restored, channels (what was undone), complete: one row per damaged record.
     complete is false where characters are left that no channel explains. Null and empty
-    texts and texts without damage yield no row.
+    texts and texts without damage yield no row; rows without an id and repeated rows are records
+    of their own.
     """
-    words, pairs = train(texts.select("text"), "text")
-
-    def decode(batches):
-        model = Model(words, pairs)
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                restored, channels, left = repair(t, model)
-                if channels or left:
-                    rows.append((i, restored, channels, not left))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "restored", "channels", "complete"])
-
-    beyond = texts.select("id", "text").filter(F.col("text").rlike(r"[^\x00-\x7f]"))
-    return beyond.mapInArrow(decode, "id bigint, restored string, channels array<string>, complete boolean")
+    rows = texts.select(F.col("id").cast("bigint").alias("id"), "text").filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+    tokens = cut(token_counts(texts.select("text"), "text").mapInArrow(_judge, "token string, n bigint, sound boolean"))
+    options = readings(tokens).groupBy("token").agg(F.collect_list(F.struct("channel", "text", "gain", "enter")).alias("options"))
+    open_ = tokens.filter(F.col("token").rlike(f"[\x80-\x84\x86-\x9f{LOST}]")).select("token")
+    options = cut(options.join(open_, "token", "full").select("token", F.coalesce("options", F.array().cast(options.schema["options"].dataType)).alias("options")))
+
+    row = F.xxhash64("id", "text").alias("row")  # rows that share it share their tokens or are looked at in vain
+    met = rows.select(row, F.explode(F.array_distinct(_forms(F.col("text")))).alias("token"))
+    few = options.limit(READINGS + 1).count() <= READINGS
+    met = cut(met.join(F.broadcast(options) if few else options, "token").groupBy("row").agg(F.collect_set(F.struct("token", "options")).alias("read")))  # the tokens of a text
+    found = semi_by_ids(rows.select("id", "text", row), met.select("row"), "row").join(met, "row")
+    return found.select("id", "text", "read").mapInArrow(_repairer, "id bigint, restored string, channels array<string>, complete boolean")

@@ -234,5 +234,30 @@ def test_lost_bytes_of_one_byte_encodings(spark):
 
 
 def test_many_lost_bytes_take_linear_time():
-    model = encoding.Model({JAPANESE: 9}, {a + b: 9 for a, b in zip("\x02" + JAPANESE, JAPANESE + "\x03", strict=True)})
+    model = encoding.Model.of({JAPANESE: 9})
     assert model.best_utf8([-1 if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else b for b in (JAPANESE * 300).encode()], "cp1252") == JAPANESE * 300
+
+
+def test_a_rare_damaged_word_is_told_by_what_the_corpus_holds(spark):
+    plain = [CLEAN[2].encode("cp1252").decode("mac_roman")] * 3  # shows the channel
+    lone = "plain words and an ‘odd’ “quote” in them, für €77"
+    bad = [w.encode("cp1252").decode("mac_roman") for w in ("“quote”", "€77", "für")]
+    got = repaired(spark, [f"words {b} here" for b in bad], extra=plain + [lone] * 60)
+    assert [got[i]["restored"] for i in range(3)] == ["words “quote” here", "words €77 here", "words für here"]
+    assert set(got) == {0, 1, 2, *range(3 + len(LEARN), 3 + len(LEARN) + 3)}
+
+
+def test_restoration_of_held_out_sentences(spark):
+    """Words of the corpus in new sentences, damaged in turn by every channel that it can have."""
+    random = np.random.default_rng(10)
+    words = [w for t in CLEAN[:3] for w in t.split()]
+    truth = [" ".join(random.choice(words, 12)) for _ in range(60)]
+    ways = [("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "cp1252")]
+    bad = []
+    for i, t in enumerate(truth):
+        read, written = ways[i % len(ways)]
+        back = {b: c for c, b in encoding._table(read).items()}
+        bad.append("".join(back[b] for b in t.encode(written)))
+    got = repaired(spark, bad)
+    right = sum(i not in got and b == t or i in got and got[i]["restored"] == t for i, (t, b) in enumerate(zip(truth, bad, strict=True)))
+    assert right >= 58
