@@ -5,24 +5,25 @@ insertions, deletions, replacements). Queries descend together, as arrays: at ea
 the distances of all queries still there are computed bit-parallel, and by the triangle
 inequality a query goes on only to children whose edge differs from its distance by at
 most its radius, so every entry within the threshold is met. A reference of up to SHARD
-entries goes to every task; a longer one is used in shards of that size, whose winners
-are merged.
+entries goes to every task. A longer one is dealt to shards of that size, which meet the
+blocks of distinct values as rows, each pair of shard and block in one task; the shards'
+winners are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacklore.functions.tables import dictionary_join
+from stacklore.storage import cut
 
 #: Reference entries that are sent to the tasks at once.
 SHARD = 20_000
+#: Distinct values that search a shard together.
+BLOCK = 500_000
 #: Results that a worker remembers between batches.
 REMEMBER = 200_000
 #: Edits allowed at most, whatever the length.
@@ -55,17 +56,28 @@ class BKTree:
     def __init__(self, entries: list[str]):
         self.entries = entries
         self.children: list[dict[int, int]] = [{} for _ in entries]
-        for i in range(1, len(entries)):
-            at = 0
-            while True:
-                d = edit_distance(entries[i], entries[at])
-                if d not in self.children[at]:
-                    self.children[at][d] = i
-                    break
-                at = self.children[at][d]
         letters = sorted(set("".join(entries)))
         self.letters = {x: k + 1 for k, x in enumerate(letters)}  # 0 is any other
         self.longest = max(map(len, entries), default=0)
+        text, length = self._numbers(entries)
+        stack = [np.arange(len(entries))] if entries else []
+        while stack:  # all entries below a node at once; the first at each distance is a child
+            own = stack.pop()
+            node, rest = int(own[0]), own[1:]
+            d = self._distances(entries[node], text[rest], length[rest])
+            for edge in np.unique(d).tolist():
+                below = rest[d == edge]
+                self.children[node][edge] = int(below[0])
+                stack.append(below)
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letter numbers of the texts, a row each, and the lengths."""
+        length = np.array([len(t) for t in texts], np.int64)
+        text = np.zeros((len(texts), length.max(initial=0)), np.int64)
+        get = self.letters.get
+        for k, t in enumerate(texts):
+            text[k, : len(t)] = [get(x, 0) for x in t]
+        return text, length
 
     def _distances(self, entry: str, text: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Edit distances of ``entry`` to the rows of ``text``, letter numbers per row."""
@@ -102,11 +114,7 @@ class BKTree:
         if not fits or not self.entries:
             return best, entry, ties
         where = np.array(fits)
-        length = np.array([len(queries[i]) for i in fits])
-        text = np.zeros((len(fits), length.max()), np.int64)
-        get = self.letters.get
-        for k, i in enumerate(fits):
-            text[k, : length[k]] = [get(x, 0) for x in queries[i]]
+        text, length = self._numbers([queries[i] for i in fits])
         stack = [(0, np.arange(len(fits)))]
         while stack:
             node, own = stack.pop()
@@ -148,13 +156,49 @@ def _matcher(reference: list[str], aliases: dict[str, str]):
     return match
 
 
-def _shards(reference: DataFrame, column: str) -> Iterator[list[str]]:
-    """The distinct entries in parts of at most about SHARD, each small enough to broadcast."""
-    names = reference.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    count = names.count()
-    parts = -(-count // SHARD) or 1
-    for part in range(parts):
-        yield [r[0] for r in names.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).collect()]
+def _searcher(short: dict[str, str]):
+    """Searches rows(shard, block, is_value, text) that come sorted: first a shard's entries, then a block of values."""
+
+    def search(batches):
+        at, names, match = None, [], None
+        for batch in batches:
+            shard, block, is_value, text = (batch.column(i).to_pylist() for i in range(4))
+            start = 0
+            while start < len(text):
+                key, kind = (shard[start], block[start]), is_value[start]
+                end = start
+                while end < len(text) and (shard[end], block[end]) == key and is_value[end] == kind:
+                    end += 1
+                if not kind:
+                    if at != key:
+                        at, names = key, []
+                    names += text[start:end]
+                    match = None
+                else:
+                    if at != key:  # no entry came before
+                        at, names, match = key, [], None
+                    if match is None:
+                        match, exact = _matcher(names, short), set(names)
+                    found = match([plain(v) for v in text[start:end]])
+                    columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(text[start:end], pa.string()), *columns, pa.array([v in exact for v in text[start:end]], pa.bool_())], names=["value", "distance", "canonical", "ties", "exact"])
+                start = end
+
+    return search
+
+
+def _winners(uses: DataFrame, names: DataFrame, short: dict[str, str]) -> DataFrame:
+    """(value, distance, canonical, ties, exact) of the distinct values ``uses``(value, uses) over all entries ``names``(name)."""
+    shards, blocks = (max(1, -(-df.count() // most)) for df, most in ((names, SHARD), (uses, BLOCK)))
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (shards, blocks)]
+    entries = names.select(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), every[1].alias("block"), F.lit(False).alias("is_value"), F.col("name").alias("text"))
+    asked = uses.select(every[0].alias("shard"), F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_value"), F.col("value").alias("text"))
+    rows = entries.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "is_value", "text")
+    found = cut(rows.mapInArrow(_searcher(short), "value string, distance int, canonical string, ties int, exact boolean"))
+    best = found.groupBy("value").agg(F.min("distance").alias("distance"), F.max("exact").alias("exact"))
+    nearest = found.join(best.select("value", "distance"), ["value", "distance"]).groupBy("value").agg(F.max("canonical").alias("canonical"), F.sum("ties").alias("ties"))
+    ties = F.when(F.col("distance") < 0, F.lit(1)).otherwise(F.col("ties"))
+    return best.join(nearest, "value").select("value", "distance", "canonical", ties.cast("int").alias("ties"), "exact")
 
 
 def map_values(values: DataFrame, reference: DataFrame, aliases: DataFrame, by: list[str]) -> DataFrame:
@@ -170,7 +214,8 @@ def map_values(values: DataFrame, reference: DataFrame, aliases: DataFrame, by:
     if aliases.limit(SHARD + 1).count() > SHARD:
         raise ValueError(f"more than {SHARD} aliases")
     short = {r[0]: r[1] for r in aliases.filter("alias IS NOT NULL AND canonical IS NOT NULL").select("alias", "canonical").collect()}
-    parts = list(_shards(reference, "canonical"))
+    names = reference.select(F.col("canonical").alias("name")).filter(F.col("name").isNotNull()).distinct()
+    small = [r[0] for r in names.limit(SHARD + 1).collect()]
     rows = values.select(*by, "value").filter(F.btrim("value", F.lit(_BLANK)) != "")
     adds = "distance int, canonical string, ties int, exact boolean"
 
@@ -199,20 +244,11 @@ def map_values(values: DataFrame, reference: DataFrame, aliases: DataFrame, by:
 
         return values.mapInArrow(resolve, f"{kinds}, {adds}")
 
-    if len(parts) == 1:
-        found = resolved(rows, parts[0])
+    if len(small) <= SHARD:
+        found = resolved(rows, small)
     else:
-        uses = rows.groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
-        winners = reduce(DataFrame.unionByName, [resolved(uses.select("value"), p) for p in parts])
-        best = winners.groupBy("value").agg(
-            F.min("distance").alias("distance"),
-            F.max("exact").alias("exact"),
-            F.collect_list(F.struct("distance", "canonical", "ties")).alias("all"),  # a row per shard
-        )
-        first = F.filter("all", lambda x: x["distance"] == F.col("distance"))
-        ties = F.when(F.col("distance") < 0, F.lit(1)).otherwise(F.aggregate(first, F.lit(0), lambda s, x: s + x["ties"]))
-        best = best.select("value", "distance", "exact", F.array_max(F.transform(first, lambda x: x["canonical"])).alias("canonical"), ties.alias("ties"))
-        found = dictionary_join(rows, best.join(uses, "value"), ["value"], ["distance", "canonical", "ties", "exact"], "uses")
+        uses = cut(rows.groupBy("value").agg(F.count(F.lit(1)).alias("uses")))
+        found = dictionary_join(rows, _winners(uses, cut(names), short).join(uses, "value"), ["value"], ["distance", "canonical", "ties", "exact"], "uses")
     one = (F.col("ties") == 1) & (F.col("distance") <= MOST)
     return found.filter(~F.col("exact")).select(*by, "value", F.when(one, F.col("canonical")).otherwise("").alias("canonical"))
 
