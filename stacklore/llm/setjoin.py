@@ -20,6 +20,8 @@ from stacklore.storage import cut
 
 #: Up to this many values a set is indexed under triples.
 SMALL = 16
+#: Sets that meet under a code in one task; more are dealt to blocks.
+SHARD = 20_000
 
 
 def _triples(prefix: Column) -> Column:
@@ -59,17 +61,27 @@ def similar_sets(sets: DataFrame, by: list[str], items: str, similarity: Fractio
     triple_length = F.least(n, n - F.greatest(overlap, F.lit(least)) + 3).cast("int")
     if least < 3:
         raise ValueError("sets this small or unlike cannot be indexed under triples")
-    small = ordered.filter(F.col("n") <= SMALL).select(*by, "rep", "n", F.lit(3).alias("kind"), F.explode(_triples(F.slice("items", F.lit(1), triple_length))).alias("code"))
-    single = ordered.filter(F.col("n") * down >= up * (SMALL + 1)).select(*by, "rep", "n", F.lit(1).alias("kind"), F.explode(F.transform(F.slice("items", F.lit(1), (n - overlap + 1).cast("int")), lambda x: F.xxhash64(x))).alias("code"))
-    index = small.unionByName(single)
-
-    left, right = (index.select(*by, "kind", "code", F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    met = left.join(right, [*by, "kind", "code"]).filter(
-        (F.col("rep_a") < F.col("rep_b"))
-        & (F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up)
-        & ((F.col("kind") == 3) | (F.greatest("n_a", "n_b") > SMALL))
-    )
-    met = met.select(*by, "rep_a", "rep_b").distinct()
+    small = ordered.filter(F.col("n") <= SMALL).select(*by, "rep", "n", F.explode(_triples(F.slice("items", F.lit(1), triple_length))).alias("code"))
+    single = ordered.filter(F.col("n") * down >= up * (SMALL + 1)).select(*by, "rep", "n", F.explode(F.transform(F.slice("items", F.lit(1), (n - overlap + 1).cast("int")), lambda x: F.xxhash64(x))).alias("code"))
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of a and b that share a code; the members of a hot code meet in blocks."""
+        hot = b.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") > SHARD)
+        hot = cut(hot.select(*by, "code", F.ceil(F.col("uses") / SHARD).cast("int").alias("parts")))
+        part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+        if hot.limit(1).count():
+            a = a.join(hot, [*by, "code"], "left").na.fill(1, ["parts"]).select(*a.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            b = b.join(hot, [*by, "code"], "left").na.fill(1, ["parts"]).select(*b.columns, part.alias("part"))
+        else:
+            a, b = a.withColumn("part", F.lit(0)), b.withColumn("part", F.lit(0))
+        left = a.select(*by, "code", "part", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
+        right = b.select(*by, "code", "part", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
+        near = F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up
+        return left.join(right, [*by, "code", "part"]).filter(near & (F.col("rep_a") != F.col("rep_b")))
+
+    # Sets up to SMALL meet each other under triples; a larger one meets all under single values.
+    met = meet(small, small).filter(F.col("rep_a") < F.col("rep_b")).unionByName(meet(single.filter(F.col("n") > SMALL), single))
+    met = met.select(*by, F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
     for side in "ab":
         met = met.join(classes.select(*by, F.col("rep").alias(f"rep_{side}"), F.col("items").alias(f"items_{side}")), [*by, f"rep_{side}"])
     shared = F.size(F.array_intersect("items_a", "items_b"))

@@ -131,7 +131,9 @@ def linked(spark, rows):
     return {(r["id_a"], r["id_b"]) for r in pairs.expand(links, members, ["src"]).collect()}, pairs.class_links(links, members, ["src"])
 
 
-def test_similar_sets_equal_brute_force(spark):
+@pytest.mark.parametrize("shard", [20_000, 3])
+def test_similar_sets_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(setjoin, "SHARD", shard)
     random = np.random.default_rng(5)
     rows = []
     for size in [*range(1, 15), 15, 16, 17, 18, 20, 26, 40]:
