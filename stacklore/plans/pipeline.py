@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stacklore.operators import cleaning, explorer, graph, rules, semantic, stats, transactions
 from stacklore.session import session
 from stacklore.sources import files
-from stacklore.storage import cut
+from stacklore.storage import cut, tables
 
 
 def embed(docs: DataFrame, method: str = "tfidf", dims: int = 96, most_terms: int | None = None, weights: str | None = None, vocabulary: str | None = None, length: int = 96, batch: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +69,11 @@ def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", mi
 
     Texts are taken whole unless ``description_limit`` or ``readme_limit`` is given.
     """
+    with tables():
+        return _run(spark, raw, out, order, min_support, min_confidence, min_lift, max_itemset, max_features, svd_dims, clusters, neighbors, description_limit, readme_limit, model)
+
+
+def _run(spark, raw, out, order, min_support, min_confidence, min_lift, max_itemset, max_features, svd_dims, clusters, neighbors, description_limit, readme_limit, model) -> dict:
     started = time.time()
     ids = F.xxhash64("name")
     repos = cut(cleaning.preprocess(raw, order, description_limit=description_limit, readme_limit=readme_limit).withColumn("id", ids))
@@ -78,6 +83,8 @@ def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", mi
     place = repos.select("id", F.col(order).alias("place"))
     edges = cut(transactions.item_pairs(tx).join(place, "id").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), F.min("place").alias("first_id")))
     nodes = cut(graph.node_table(transactions.item_counts(tx).select("item", "count"), edges))
+    algorithm = nodes.select("algorithm").limit(1).collect()
+    nodes = nodes.drop("algorithm")
     top = transactions.top_edges(edges)
 
     sets = cut(rules.frequent_itemsets(tx, min_support, max_itemset))
@@ -100,11 +107,11 @@ def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", mi
     files.write_json_array(rules.association_rules(sets, min_confidence, min_lift, max_itemset), f"{out}/association_rules.json", 2)
     files.write_json_array(explorer.neighbour_lists(near), f"{out}/similarities.json")
 
-    def table(df: DataFrame, key: str, value: str = "count") -> dict:
+    def counted(df: DataFrame, key: str, value: str = "count") -> dict:
         return {str(r[key]): r[value] for r in df.collect()}
 
     def frequencies(column: str, n: int = 1000) -> dict:
-        return table(stats.top_n_freq(full, column, n, order), "value")
+        return counted(stats.top_n_freq(full, column, n, order), "value")
 
     said = cut(stats.insights(nodes, mined, full))
     tops = nodes.orderBy(F.desc("pagerank"), F.desc("count"), "id").limit(12).select(F.col("id").alias("item"))
@@ -120,11 +127,13 @@ def run(spark: SparkSession, raw: DataFrame, out: str, order: str = "row_no", mi
         "generated_at": datetime.now(timezone.utc).isoformat(),
         "runtime_seconds": round(time.time() - started, 2),
         **{r["metric"]: r["value"] for r in stats.kpis(full, nodes, top.count(), mined.count()).collect()},
+        "embedding_method": model.get("method", "tfidf"),
+        "community_algorithm": algorithm[0][0] if algorithm else None,
         "average_bert_confidence": stats.mean_of(full, "bert_confidence").first()["mean"],
         **totals,
         "data_source_distribution": frequencies("data_origin"), "category_distribution": frequencies("bert_category"), "language_distribution": frequencies("language", 25),
         "era_distribution": frequencies("era"), "popularity_distribution": frequencies("popularity"), "license_distribution": frequencies("license", 12), "cluster_distribution": frequencies("cluster_id"),
-        "frequent_itemsets": table(summary, "name", "value"),
+        "frequent_itemsets": counted(summary, "name", "value"),
         "top_pagerank": leaders("pagerank", 20), "top_authorities": leaders("authority", 15), "top_hubs": leaders("hub", 15),
         "top_repositories": [r.asDict() for r in explorer.top_repositories(full).collect()],
         "trends": trends,

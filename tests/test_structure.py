@@ -16,3 +16,6 @@ def test_no_local_checkpoint_or_fixed_temporary_folder():
     for file in ROOT.rglob("*.py"):
         text = file.read_text()
         assert "localCheckpoint" not in text and "/tmp" not in text, file
+        assert ".persist(" not in text and ".cache()" not in text, file
+        if file.name != "storage.py":  # there only for sessions on a local master
+            assert not re.search(r"\btempfile\b|mkdtemp|gettempdir", text), file

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stacklore.functions import tables
+from stacklore import storage
 from stacklore.storage import cut, shared_dir
 
 
@@ -47,3 +48,55 @@ def test_cut_keeps_rows_and_names(spark):
     assert got.dtypes == df.dtypes and got.collect() == df.collect()
     assert cut(df.limit(0)).count() == 0
     assert shared_dir(spark)
+
+
+class Cluster:
+    """A session whose executors are elsewhere, or have folders of their own."""
+
+    def __init__(self, folder, rows):
+        self.sparkContext = self.conf = self
+        self.master, self.applicationId, self.folder, self.rows = "spark://host:7077", "app", folder, rows
+        self.read = self.write = self
+
+    def get(self, key, default=None):
+        return self.folder
+
+    def getConf(self):
+        return self
+
+    def range(self, *_):
+        return self
+
+    def parquet(self, path):
+        return self
+
+    def schema(self, text):
+        return self
+
+    def count(self):
+        return self.rows
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster(None, 64))
+    with pytest.raises(ValueError, match="not shared: 10 of 64"):
+        shared_dir(Cluster("file:///own", 10))
+    assert shared_dir(Cluster("hdfs://shared/", 64)) == "hdfs://shared"
+
+
+def test_tables_are_removed(spark):
+    from pathlib import Path
+
+    def there(df):
+        return Path(df._stacklore_table.removeprefix("file://")).exists()
+
+    kept = cut(spark.range(3))
+    with storage.tables():
+        inner = cut(spark.range(3))
+        assert there(inner)
+    assert there(kept) and not there(inner)
+    storage.drop(kept)
+    storage.drop(None)
+    storage.drop(spark.range(1))
+    assert not there(kept)
