@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.functions.tables import dictionary_join
+from stacklore.functions.tables import dictionary_join, semi_by_ids
+from stacklore.storage import cut
 
 
 def freq_table(df: DataFrame, column: str) -> DataFrame:
@@ -27,12 +28,46 @@ def top_n_freq(df: DataFrame, column: str, n: int, order: str) -> DataFrame:
     return counts.orderBy(F.desc("count"), "first").limit(n).select("value", "count")
 
 
+#: Ranges of values in which places are counted.
+LANES = 64
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(field, share, value): interpolated quantiles of numbers, exact, of any number of rows.
+
+    Equal values of a field are counted first. The distinct ones are dealt to LANES ranges by
+    their order; a range knows how many rows come before it, so each place is found
+    where it lies and no task holds all values. Nulls are left out; a field without values has
+    no rows.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in columns])
+    values = df.select(F.inline(cells)).filter(F.col("v").isNotNull()).groupBy("field", "v").agg(F.count(F.lit(1)).alias("n"))
+    laned = cut(values.repartitionByRange(LANES, "field", "v").withColumn("lane", F.spark_partition_id()))
+    sizes = laned.groupBy("field", "lane").agg(F.sum("n").alias("size"))  # at most LANES rows and one for each field
+    starts = sizes.selectExpr("field", "lane", "sum(size) OVER (PARTITION BY field) AS total", "coalesce(sum(size) OVER (PARTITION BY field ORDER BY lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
+    wanted = starts.select("*", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")).withColumn("at", F.col("share") * (F.col("total") - 1))
+    wanted = wanted.select("field", "lane", "start", "share", "at", F.floor("at").alias("low"), F.ceil("at").alias("high"))
+    inside = laned.selectExpr("*", "sum(n) OVER (PARTITION BY field, lane ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto")
+    met = inside.join(F.broadcast(wanted), ["field", "lane"])
+    first, last = F.col("start") + F.col("upto") - F.col("n"), F.col("start") + F.col("upto") - 1  # places of the value
+    hit = met.select("field", "share", "at", "low", F.when((first <= F.col("low")) & (F.col("low") <= last), F.col("v")).alias("a"), F.when((first <= F.col("high")) & (F.col("high") <= last), F.col("v")).alias("b"))
+    ends = hit.groupBy("field", "share", "at", "low").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return ends.select("field", "share", (F.col("a") + (F.col("at") - F.col("low")) * (F.col("b") - F.col("a"))).alias("value"))
+
+
+def _by_field(df: DataFrame, columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """(field, a column for each share): the quantiles; fields without values are absent."""
+    found = exact_quantiles(df, columns, list(shares.values()))
+    return found.groupBy("field").agg(*[F.max(F.when(F.abs(F.col("share") - s) < 1e-12, F.col("value"))).alias(n) for n, s in shares.items()])
+
+
 def summary_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, total, mean, median, max) of numbers; mean and median to 2 places, the median exact."""
     def one(c: str) -> Column:
-        return F.struct(F.lit(c).alias("field"), F.sum(c).alias("total"), F.round(F.avg(c), 2).alias("mean"), F.round(F.median(c), 2).alias("median"), F.max(c).alias("max"))
+        return F.struct(F.lit(c).alias("field"), F.sum(c).alias("total"), F.round(F.avg(c), 2).alias("mean"), F.max(c).alias("max"))
 
-    return df.agg(F.array(*[one(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    rows = df.agg(F.array(*[one(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    return rows.join(F.broadcast(_by_field(df, columns, {"median": 0.5})), "field", "left").select("field", "total", "mean", F.round("median", 2).alias("median"), "max")  # a row per field
 
 
 def mean_of(df: DataFrame, column: str, places: int = 4) -> DataFrame:
@@ -40,10 +75,9 @@ def mean_of(df: DataFrame, column: str, places: int = 4) -> DataFrame:
 
 
 def trend_counts(df: DataFrame, items: str, year: str, top: DataFrame) -> DataFrame:
-    """(item, year, count) for the items of the small table ``top``(item), at most 1,000."""
-    names = top.select("item").distinct().limit(1000)
+    """(item, year, count) for the items of the table ``top``(item), of any size."""
     rows = df.select(F.explode(F.array_distinct(items)).alias("item"), F.col(year).alias("year"))
-    return rows.join(F.broadcast(names), "item", "left_semi").groupBy("item", "year").agg(F.count(F.lit(1)).alias("count"))
+    return semi_by_ids(rows, top.select("item").distinct(), "item").groupBy("item", "year").agg(F.count(F.lit(1)).alias("count"))
 
 
 def trend_pivot(counts: DataFrame, items: list[str]) -> DataFrame:
@@ -66,8 +100,9 @@ def width_histogram(df: DataFrame, column: str, bins: int, high_quantile: float
     values equal: one bin around them, half a unit each way, as wide as asked for.
     """
     v = F.col(column).cast("double")
-    edge = F.percentile(v, high_quantile) if high_quantile is not None else F.max(v)
-    bounds = df.agg(F.min(v).alias("low"), edge.alias("high"))  # one row
+    bounds = df.agg(F.min(v).alias("low"), F.max(v).alias("high"))  # one row
+    if high_quantile is not None:
+        bounds = bounds.select("low").join(F.broadcast(quantile(df, column, high_quantile).select(F.col("quantile").alias("high"))))
     flat = F.col("low") == F.col("high")
     bounds = bounds.select(F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
     rows = df.select(v.alias("v")).filter(F.col("v").isNotNull()).join(F.broadcast(bounds))
@@ -83,14 +118,16 @@ def describe_exact(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, count, mean, std, min, q25, q50, q75, max); quartiles interpolated, std of a sample."""
     def one(c: str) -> Column:
         v = F.col(c).cast("double")
-        q = [F.percentile(v, p).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-        return F.struct(F.lit(c).alias("field"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *q, F.max(v).alias("max"))
+        return F.struct(F.lit(c).alias("field"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
-    return df.agg(F.array(*[one(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    rows = df.agg(F.array(*[one(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    return rows.join(F.broadcast(_by_field(df, columns, quarters)), "field", "left").select("field", "count", "mean", "std", "min", *quarters, "max")  # a row per field
 
 
 def quantile(df: DataFrame, column: str, share: float) -> DataFrame:
-    return df.agg(F.percentile(F.col(column).cast("double"), share).alias("quantile"))
+    """(quantile): one row, null without values."""
+    return exact_quantiles(df, [column], [share]).agg(F.max("value").alias("quantile"))
 
 
 def missing_ratio(df: DataFrame, top: int = 12) -> DataFrame:
