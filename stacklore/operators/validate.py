@@ -47,17 +47,44 @@ def scored(df: DataFrame, checks: dict[str, tuple[Column, int]]) -> DataFrame:
     return out.select("item", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"), F.when(F.col("ok"), F.col("max_score")).otherwise(0).alias("score"), "max_score")
 
 
-def validation_checks(repos: DataFrame, nodes: DataFrame, edges: DataFrame, rules: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """The scored checks of a run: stacks, rules, graph, categories, neighbour lists."""
-    parts = [
-        scored(repos, {"every record has a stack": (F.count_if(F.coalesce(F.size("tech_stack"), F.lit(0)) <= 0) == 0, 2), "five categories or more": (F.count_distinct("bert_category") >= 5, 2)}),
-        scored(rules, {"a hundred rules or more": (F.count(F.lit(1)) >= 100, 3)}),
-        scored(nodes, {"twenty nodes or more": (F.count(F.lit(1)) >= 20, 1)}),
-        scored(edges, {"a hundred edges or more": (F.count(F.lit(1)) >= 100, 1)}),
-    ]
-    without = repos.select("name").distinct().join(neighbours.select("name").distinct(), "name", "left_anti")
-    parts.append(scored(without, {"a neighbour list per record": (F.count(F.lit(1)) == 0, 2)}))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+# The checks of a run with their points, and the columns they ask for.
+CHECKS = {
+    "Data Collection & Understanding": 2, "Data Preprocessing": 2, "Association Rule Mining": 2, "Link Analysis (PageRank/HITS)": 2,
+    "Visualization": 1, "Report & Presentation": 1, "BERT / Semantic Analysis": 5,
+}
+CLEANED = ("name", "stars", "forks", "language", "topics", "description", "tech_stack", "bert_category", "bert_confidence", "cluster_id", "pca_x", "pca_y", "html_url")
+MEASURES = ("support", "confidence", "lift", "conviction", "leverage")
+RANKS = ("pagerank", "hub", "authority", "community")
+
+
+def validation_checks(raw: DataFrame, repos: DataFrame, nodes: DataFrame, edges: DataFrame, rules: DataFrame, neighbours: DataFrame, stats: dict, shown: bool, reported: bool, looked_at: int | None = 200) -> DataFrame:
+    """(item, status, score, max_score): the seven checks of a run, 15 points in all.
+
+    stats: total_repos, total_categories and embedding_method as recorded. ``shown`` and
+    ``reported`` say whether the page and the notebook, and the report and the slides, are there.
+    Stacks are checked on the first ``looked_at`` records by stars and name, None: on all.
+    """
+    first = repos if looked_at is None or "tech_stack" not in repos.columns else repos.orderBy(F.desc_nulls_last("stars"), "name").limit(looked_at)
+    count = F.count(F.lit(1))
+    sizes = {
+        "raw": raw.agg(count), "repos": repos.agg(count), "nodes": nodes.agg(count), "edges": edges.agg(count), "rules": rules.agg(count),
+        "collected": repos.agg(F.count_if(F.col("data_origin") == "github_api")), "lists": neighbours.agg(F.count_distinct("name")),
+        "bare": first.agg(F.count_if(F.coalesce(F.size("tech_stack"), F.lit(0)) <= 0)) if "tech_stack" in repos.columns else repos.agg(count),
+    }
+    one = None
+    for name, df in sizes.items():
+        row = df.toDF(name)
+        one = row if one is None else one.join(F.broadcast(row))  # a row each
+    total = F.lit(stats.get("total_repos"))
+    met = (
+        (F.col("collected") > 0) & (F.col("raw") == F.col("repos")) & (F.col("repos") == total),
+        F.lit(not missing_columns(repos, CLEANED)) & (F.col("bare") == 0),
+        (F.col("rules") >= 100) & F.lit(not missing_columns(rules, MEASURES)),
+        (F.col("nodes") >= 20) & (F.col("edges") >= 100) & F.lit(not missing_columns(nodes, RANKS)),
+        F.lit(shown),
+        F.lit(reported),
+        F.lit("embedding_method" in stats and stats.get("total_categories", 0) >= 5) & (F.col("lists") == F.col("repos")),
+    )
+    rows = [F.struct(F.lit(n).alias("item"), F.coalesce(ok, F.lit(False)).alias("ok"), F.lit(m).alias("max_score")) for (n, m), ok in zip(CHECKS.items(), met, strict=True)]
+    out = one.select(F.inline(F.array(*rows)))
+    return out.select("item", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"), F.when(F.col("ok"), F.col("max_score")).otherwise(0).alias("score"), "max_score")

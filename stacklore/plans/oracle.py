@@ -229,6 +229,7 @@ FROM rules WHERE list_contains(antecedent, 'data-pipeline') ORDER BY lift DESC,
         "fpgrowth_itemsets": f"""WITH {_itemsets(0.02, 6)} SELECT array_to_string(items, ', ') AS items, size, count, round(count::DOUBLE / n, 8) AS support FROM sets, least ORDER BY count DESC, size, sets.items LIMIT 15""",
         "pagerank": _pagerank(steps[0]),
         "hits": _hits(steps[1]),
+        "rank_leaders": f"SELECT id, round(pagerank, 7) AS pagerank, count FROM ({_pagerank(steps[0])}) JOIN (SELECT item AS id, count(DISTINCT repo_id) AS count FROM (SELECT repo_id, unnest(tech_stack) AS item FROM repos) GROUP BY 1) USING (id) ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20",
         "repository_influence": f"SELECT * FROM ({_pagerank(60, _RECORDS)}) JOIN ({_hits(40, _RECORDS)}) USING (id)",
         "repository_influence_all": f"SELECT * FROM ({_pagerank(60, _ALL_RECORDS)}) JOIN ({_hits(40, _ALL_RECORDS)}) USING (id)",
         "keyword_communities": f"""WITH {_TX}, k(p, k) AS (VALUES {keywords}), v AS (SELECT item, {normal} AS n0 FROM counts), m AS (SELECT item, coalesce({_ALIAS}[n0], n0) AS n FROM v)
@@ -245,11 +246,13 @@ SELECT source, target, weight FROM edges WHERE source IN (SELECT id FROM t) AND
         "tfidf_top_terms": f"WITH {_TFIDF}, p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS place FROM weights) SELECT id, place::INTEGER AS place, term, round(weight, 5) AS weight FROM p WHERE place <= 5",
         "tfidf_weights_all": f"WITH {_ALL_TFIDF} SELECT id, term, round(weight, 5) AS weight FROM weights",
         "tfidf_top_terms_all": f"WITH {_ALL_TFIDF}, p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS place FROM weights) SELECT id, place::INTEGER AS place, term, round(weight, 5) AS weight FROM p WHERE place <= 5",
-        "validation_checks": f"""WITH {_rule_ctes()}, r AS (SELECT count(*) FILTER (coalesce(len(tech_stack), 0) = 0) = 0 AS a, count(DISTINCT bert_category) >= 5 AS b FROM repos),
- e AS (SELECT count(*) AS n FROM (SELECT DISTINCT a.item, b.item FROM item a JOIN item b ON a.id = b.id AND a.item < b.item LIMIT 1500)),
- checks AS (SELECT 'every record has a stack' AS item, a AS ok, 2 AS max_score FROM r UNION ALL SELECT 'five categories or more', b, 2 FROM r UNION ALL SELECT 'a hundred rules or more', count(*) >= 100, 3 FROM rules
- UNION ALL SELECT 'twenty nodes or more', count(*) >= 20, 1 FROM graph_nodes UNION ALL SELECT 'a hundred edges or more', n >= 100, 1 FROM e
- UNION ALL SELECT 'a neighbour list per record', count(*) = 0, 2 FROM repos WHERE name NOT IN (SELECT name FROM similarities))
+        "validation_checks": f"""WITH {_rule_ctes()}, r AS (SELECT count(*) AS repos, count(*) FILTER (data_origin = 'github_api') AS collected, count(DISTINCT bert_category) AS k FROM repos),
+ f AS (SELECT count(*) FILTER (coalesce(len(tech_stack), 0) = 0) AS bare FROM (SELECT tech_stack FROM repos ORDER BY stars DESC NULLS LAST, name LIMIT 200)),
+ e AS (SELECT count(*) AS edges FROM (SELECT DISTINCT a.item, b.item FROM item a JOIN item b ON a.id = b.id AND a.item < b.item LIMIT 1500)),
+ checks AS (SELECT 'Data Collection & Understanding' AS item, collected > 0 AND (SELECT count(*) FROM github_repos) = repos AS ok, 2 AS max_score FROM r
+ UNION ALL SELECT 'Data Preprocessing', bare = 0, 2 FROM f UNION ALL SELECT 'Association Rule Mining', count(*) >= 100, 2 FROM rules
+ UNION ALL SELECT 'Link Analysis (PageRank/HITS)', edges >= 100 AND (SELECT count(*) FROM graph_nodes) >= 20, 2 FROM e UNION ALL SELECT 'Visualization', false, 1 UNION ALL SELECT 'Report & Presentation', true, 1
+ UNION ALL SELECT 'BERT / Semantic Analysis', k >= 5 AND (SELECT count(DISTINCT name) FROM similarities) = repos, 5 FROM r)
 SELECT item, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN ok THEN max_score ELSE 0 END AS score, max_score FROM checks""",
         "insights": f"""WITH {_rule_ctes()}, n AS (SELECT id, count FROM graph_nodes ORDER BY pagerank DESC, count DESC, id LIMIT 1), b AS (SELECT * FROM rules ORDER BY lift DESC, confidence DESC, support_count DESC, antecedent, consequent LIMIT 1),
  m AS (SELECT bert_category, count(*) AS c FROM repos WHERE bert_category IS NOT NULL GROUP BY 1 ORDER BY c DESC, 1 LIMIT 1)

@@ -311,6 +311,14 @@ def node_table(spark, folder):
     return graph.node_table(*_graph(spark, folder))
 
 
+def rank_leaders(spark, folder):
+    """The 20 nodes of greatest PageRank in the order of the node table, as reports list them."""
+    counts, edges = _graph(spark, folder)
+    ranked = graph.pagerank(counts.select(F.col("item").alias("id")), edges, iterations=STEPS[0]).select("id", F.round("pagerank", 7).alias("pagerank"))
+    best = ranked.join(counts.select(F.col("item").alias("id"), "count"), "id")
+    return best.orderBy(F.desc("pagerank"), F.desc("count"), "id").limit(20)
+
+
 def induced_subgraph(spark, folder):
     return graph.induced_subgraph(read(spark, folder, "graph_nodes"), cooccurrence_edges(spark, folder), 40, 320)
 
@@ -404,8 +412,11 @@ def pca_projection(spark, folder):
 
 
 def validation_checks(spark, folder):
+    repos = read(spark, folder, "repos")
+    one = repos.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bert_category").alias("k")).first()
+    known = {"total_repos": one["n"], "total_categories": one["k"], "embedding_method": "tfidf"}
     edges = transactions.top_edges(cooccurrence_edges(spark, folder))
-    return validate.validation_checks(read(spark, folder, "repos"), read(spark, folder, "graph_nodes"), edges, _rules(spark, folder), read(spark, folder, "similarities"))
+    return validate.validation_checks(read(spark, folder, "github_repos"), repos, read(spark, folder, "graph_nodes"), edges, _rules(spark, folder), read(spark, folder, "similarities"), known, shown=False, reported=True)
 
 
 def insights(spark, folder):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stacklore.operators.cleaning import flatten_record, upsert
-from stacklore.storage import cut
+from stacklore.storage import cut, drop
 
 # Topics, the star ranges that split a topic's results, and queries without a topic.
 TOPICS = (
@@ -33,6 +33,8 @@ PLAIN = (
     "stars:>=100000", "stars:50000..99999", "stars:20000..49999", "language:Python stars:1000..20000", "language:JavaScript stars:1000..20000",
     "language:TypeScript stars:1000..20000", "language:Go stars:1000..20000", "language:Rust stars:1000..20000",
 )
+#: Seconds a reply may take.
+TIMEOUT = 30
 SCHEMA = (
     "full_name string, stargazers_count bigint, forks_count bigint, watchers_count bigint, open_issues_count bigint, size bigint, language string, "
     "topics array<string>, description string, homepage string, created_at string, updated_at string, pushed_at string, license struct<spdx_id: string>, "
@@ -54,19 +56,21 @@ def pages(per_query: int, size: int = 100) -> int:
 def request_json(url: str, token: str | None = None, sleep=time.sleep, clock=time.time, opener=urllib.request.urlopen) -> dict:
     """One page; waits and asks again while the service limits its rate (403, 429), {} for 422.
 
-    It waits until the time the service names and 3 s more, at least 5 s, else 60 s.
+    If the service says that no requests remain and until when, it waits until then and 3 s
+    more, at least 5 s; else 60 s. A reply may take TIMEOUT seconds.
     """
     headers = {"Accept": "application/json", **({"Authorization": f"Bearer {token}"} if token else {})}
     while True:
         try:
-            with opener(urllib.request.Request(url, headers=headers)) as reply:
+            with opener(urllib.request.Request(url, headers=headers), timeout=TIMEOUT) as reply:
                 return json.loads(reply.read())
         except urllib.error.HTTPError as e:
             if e.code == 422:
                 return {}
             if e.code not in (403, 429):
                 raise
-            reset = e.headers.get("X-RateLimit-Reset") if e.headers else None
+            said = e.headers or {}
+            reset = said.get("X-RateLimit-Reset") if said.get("X-RateLimit-Remaining") == "0" else None
             sleep(max(5, int(reset) - clock() + 3) if reset else 60)
 
 
@@ -75,7 +79,7 @@ def request_with_retries(url: str, token: str | None = None, attempts: int = 5,
     headers = {"Accept": "application/json", **({"Authorization": f"Bearer {token}"} if token else {})}
     for attempt in range(attempts):
         try:
-            with opener(urllib.request.Request(url, headers=headers)) as reply:
+            with opener(urllib.request.Request(url, headers=headers), timeout=TIMEOUT) as reply:
                 return json.loads(reply.read())
         except urllib.error.HTTPError as e:
             if attempt == attempts - 1 or not (e.code in (403, 429) or e.code >= 500):
@@ -145,7 +149,7 @@ def search(spark: SparkSession, url: str, queries: list[str], per_query: int = 9
 
 
 def collect(spark: SparkSession, url: str, queries: list[str], target: int = 30_000, per_query: int = 900, at_once: int = 1, existing: DataFrame | None = None, token: str | None = None) -> DataFrame:
-    """Records by name, of equal names the last; stops asking when ``target`` names are there.
+    """Records by name, of equal names the last, by stars descending and name; stops asking when ``target`` names are there.
 
     ``at_once`` shards are asked in parallel between two looks at the number of names. The
     table is written at every look, so a run that breaks off can go on from it with
@@ -156,8 +160,12 @@ def collect(spark: SparkSession, url: str, queries: list[str], target: int = 30_
         if table is not None and table.count() >= target:
             break
         new = cut(search(spark, url, queries[at : at + at_once], per_query, token))
-        table = cut(upsert(new.limit(0) if table is None else table, new, "name", "seq"))
-    return table if table is not None else search(spark, url, [], per_query, token).limit(0)
+        old, table = table, cut(upsert(new.limit(0) if table is None else table, new, "name", "seq"))
+        for done in (old, new):
+            drop(done)
+    if table is None:
+        table = search(spark, url, [], per_query, token).limit(0)
+    return table.orderBy(F.desc_nulls_last("stars"), "name")
 
 
 def with_readmes(repos: DataFrame, fetch: Callable[[str], str], top: int = 1500) -> DataFrame:

@@ -48,20 +48,20 @@ def test_query_plan():
 
 
 def test_requests_wait_for_the_rate_limit():
-    replies = [(403, {"X-RateLimit-Reset": "100"}), (429, {}), (200, None)]
+    replies = [(403, {"X-RateLimit-Reset": "100", "X-RateLimit-Remaining": "0"}), (429, {}), (403, {"X-RateLimit-Reset": "100", "X-RateLimit-Remaining": "7"}), (200, None)]
     slept = []
 
-    def opener(request):
+    def opener(request, timeout):
         code, headers = replies.pop(0)
         if code != 200:
             raise urllib.error.HTTPError(request.full_url, code, "", headers, None)
         return io.BytesIO(b'{"items": [1]}')
 
     assert paged.request_json("http://a.example", sleep=slept.append, clock=lambda: 90, opener=opener) == {"items": [1]}
-    assert slept == [13, 60]
+    assert slept == [13, 60, 60]
 
     def fails(code):
-        def opener(request):
+        def opener(request, timeout):
             raise urllib.error.HTTPError(request.full_url, code, "", {}, None)
 
         return opener
@@ -104,7 +104,7 @@ def test_retries_and_languages(spark):
     codes = [500, 429, 200]
     slept = []
 
-    def opener(request):
+    def opener(request, timeout):
         if (code := codes.pop(0)) != 200:
             raise urllib.error.HTTPError(request.full_url, code, "", {}, None)
         return io.BytesIO(b"{}")
