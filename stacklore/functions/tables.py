@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stacklore.storage import cut
+
 #: At most this many dictionary rows are broadcast, whatever the data.
 HOT_KEYS = 1000
 #: Id sets up to this many rows are broadcast after they were counted.
@@ -46,6 +48,19 @@ def semi_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
+def numbered(df: DataFrame, key: str, lanes: int = 64) -> DataFrame:
+    """Adds ``number``: 0, 1, 2 ... in the order of ``key``, without one big sort task.
+
+    Rows are dealt to ranges of the order, which are ranked apart and start where those
+    before them end. Equal keys are numbered in any order.
+    """
+    dealt = df.repartitionByRange(lanes, key).sortWithinPartitions(key)
+    placed = cut(dealt.withColumns({"__lane": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("__lane").agg(F.count(F.lit(1)).alias("n"))  # at most ``lanes`` rows
+    starts = sizes.selectExpr("__lane", "coalesce(sum(n) OVER (ORDER BY __lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __start")
+    return placed.join(F.broadcast(starts), "__lane").withColumn("number", F.col("__start") + F.col("__place")).select(*df.columns, "number")
+
+
 def folded(column: Column) -> Column:
     """Lower case, without outer spaces, tabs and no-break spaces."""
     return F.btrim(F.lower(column), F.lit(" \t "))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklore.functions.tables import dictionary_join
+from stacklore.functions.tables import dictionary_join, numbered
 from stacklore.functions.vectors import as_doubles, dot, normalize
 from stacklore.functions.vocabulary import category_prompts
 from stacklore.storage import cut
 
-#: Label vectors, and query vectors, that are sent to the tasks at once.
-MOST_LABELS, QUERY_BLOCK = 10_000, 4096
+#: Label vectors that are sent to the tasks at once.
+MOST_LABELS = 10_000
+#: Vectors of a block.
+BLOCK = 4096
 
 
 def english_stop_words() -> list[str]:
@@ -136,58 +136,49 @@ def confusion_matrix(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     return both.filter(F.col("expected").isNotNull()).groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _best_of_block(names: np.ndarray, queries: np.ndarray, k: int):
-    """Scans vectors and keeps the k best per query, k + 1 as the query itself may be among them."""
+def _nearest(k: int):
+    """The k best of a block of vectors for each query of a block, k + 1 as the query itself may be among them."""
+
+    def matrix(cells):
+        v = np.array([c["vector"] for c in cells], np.float64)
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.array([c["id"] for c in cells], np.int64), np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
-    def scan(batches):
-        size = k + 1
-        best = np.full((len(names), 0), -np.inf)
-        ids = np.zeros((len(names), 0), np.int64)
+    def search(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            flat = batch.column(1)
-            v = flat.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            length = np.linalg.norm(v, axis=1, keepdims=True)
-            score = queries @ np.divide(v, length, out=np.zeros_like(v), where=length > 0).T
-            best = np.hstack([best, score])
-            ids = np.hstack([ids, np.broadcast_to(own, score.shape)])
-            if best.shape[1] > size:
+            for asked, there in zip(batch.column(0), batch.column(1), strict=True):
+                (names, q), (ids, v) = matrix(asked.as_py()), matrix(there.as_py())
+                score = q @ v.T
                 # round before comparing, so that equal scores fall to the smaller id
-                order = np.lexsort((ids, -np.round(best, 9)), axis=1)[:, :size]
-                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
-        if best.shape[1]:
-            q = np.repeat(names, best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids.ravel()), pa.array(best.ravel())], names=["id", "neighbour", "score"])
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, : k + 1]
+                best = np.take_along_axis(score, order, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(ids[order].ravel()), pa.array(best.ravel())], names=["id", "neighbour", "score"])
 
-    return scan
+    return search
 
 
 def knn_cosine(vectors: DataFrame, k: int = 8, queries: DataFrame | None = None) -> DataFrame:
     """(id, place, neighbour, score): the ``k`` nearest of vectors(id bigint, vector) by cosine, exact.
 
-    ``queries``(id, vector) are compared with all vectors, default every vector. They go to
-    the tasks in blocks of QUERY_BLOCK; each task keeps its k best per query, and those are
-    merged. A row is no neighbour of its own id; scores below 0 count as 0, to 5 places;
-    of equal scores the smaller id comes first. Null vectors are left out, zero vectors score 0.
+    ``queries``(id, vector) are compared with all vectors, default every vector. Both are
+    packed into blocks of about BLOCK; every pair of blocks is a row and gives the k best of
+    each query there, and those are merged. A row is no neighbour of its own id; scores
+    below 0 count as 0, to 5 places; of equal scores the smaller id comes first. Null vectors
+    are left out, zero vectors score 0.
     """
-    rows = vectors.select(F.col("id").cast("bigint").alias("id"), as_doubles(F.col("vector")).alias("vector")).filter(F.col("vector").isNotNull())
-    asked = rows if queries is None else queries.select(F.col("id").cast("bigint").alias("id"), as_doubles(F.col("vector")).alias("vector")).filter(F.col("vector").isNotNull())
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = []
-    for block in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        if not own.num_rows:
-            continue
-        names = own.column("id").to_numpy()
-        q = np.array(own.column("vector").to_pylist(), dtype=np.float64)
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
-        found.append(rows.mapInArrow(_best_of_block(names, q, k), "id bigint, neighbour bigint, score double"))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], "id bigint, place int, neighbour bigint, score double")
-    near = reduce(DataFrame.unionByName, found).filter(F.col("id") != F.col("neighbour"))
+
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
+        rows = cut(df.select(F.col("id").cast("bigint").alias("id"), as_doubles(F.col("vector")).alias("vector")).filter(F.col("vector").isNotNull()))
+        n = rows.count()
+        blocks = max(1, -(-n // BLOCK), min(8, n // 256))  # small tables in eight parts, to use the cores
+        place = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+        return cut(rows.groupBy(place).agg(F.collect_list(F.struct("id", "vector")).alias("cells"))), blocks
+
+    there, blocks = packed(vectors)
+    asked = there if queries is None else packed(queries)[0]
+    both = asked.select(F.col("cells").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(there, "block")
+    spread = both.select("asked", "cells", "block").repartition(blocks * 4, F.xxhash64("block", F.element_at("asked", 1)["id"])).select("asked", "cells")
+    near = spread.mapInArrow(_nearest(k), "id bigint, neighbour bigint, score double").filter(F.col("id") != F.col("neighbour"))
     near = near.selectExpr("id", "neighbour", "score", "row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, neighbour) AS place")
     return near.filter(F.col("place") <= k).select("id", "place", "neighbour", F.round(F.greatest("score", F.lit(0.0)), 5).alias("score"))
 
@@ -200,22 +191,28 @@ def svd_embed(weights: DataFrame, dims: int = 96, docs: DataFrame | None = None)
     Directions are those of the truncated singular value decomposition; their signs, and the
     order within equal singular values, are arbitrary.
     """
-    from pyspark.mllib.linalg import SparseVector
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg import VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    terms = cut(weights.select("term").distinct().selectExpr("term", "row_number() OVER (ORDER BY term) - 1 AS at"))  # a row per term
+    terms = cut(numbered(weights.select("term").distinct(), "term").withColumnRenamed("number", "at"))
     width = max(1, terms.count())
-    rows = cut(weights.join(terms, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("cells")))
+    cells = F.array_sort(F.collect_list(F.struct("at", "weight")))
+    rows = cut(weights.join(terms, "term").groupBy("id").agg(cells.alias("cells")))
     count = rows.count()
     dims = max(1, min(dims, max(2, min(count, width) - 1), width))
     if not count:
         ids = rows if docs is None else docs
         return ids.select(F.col("id").cast("bigint").alias("id"), F.array_repeat(F.lit(0.0), dims).alias("vector"))
 
-    def cells(row):
-        return IndexedRow(row["id"], SparseVector(width, [c["at"] for c in row["cells"]], [c["weight"] for c in row["cells"]]))
-
-    v = IndexedRowMatrix(rows.rdd.map(cells)).computeSVD(dims, computeU=False).V.toArray()  # width x dims
+    # The vectors are made in the JVM: written as the fields of a sparse vector, read as vectors.
+    sparse = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"), F.transform("cells", lambda c: c["at"].cast("int")).alias("indices"), F.transform("cells", lambda c: c["weight"]).alias("values")
+    )
+    written = cut(rows.select(F.col("id").cast("bigint").alias("index"), sparse.alias("vector")))
+    kind = StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])
+    matrix = IndexedRowMatrix(rows.sparkSession.read.schema(kind).parquet(written._stacklore_table))
+    v = matrix.computeSVD(dims, computeU=False).V.toArray()  # width x dims
 
     def project(batches):
         for batch in batches:
