@@ -140,14 +140,14 @@ def _nearest(k: int):
     """The k best of a block of vectors for each query of a block, k + 1 as the query itself may be among them."""
 
     def matrix(cells):
-        v = np.array([c["vector"] for c in cells], np.float64)
+        v = cells.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(cells), -1)
         length = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.array([c["id"] for c in cells], np.int64), np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+        return cells.field("id").to_numpy(zero_copy_only=False), np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
     def search(batches):
         for batch in batches:
             for asked, there in zip(batch.column(0), batch.column(1), strict=True):
-                (names, q), (ids, v) = matrix(asked.as_py()), matrix(there.as_py())
+                (names, q), (ids, v) = matrix(asked.values), matrix(there.values)
                 score = q @ v.T
                 # round before comparing, so that equal scores fall to the smaller id
                 order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, : k + 1]
