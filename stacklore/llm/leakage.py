@@ -11,6 +11,8 @@ on the words: the document must hold the passage, run by run and in order.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,7 @@ MISS = 1e-4
 SLICE = 65_536
 
 
+@cache
 def bands(passage: int) -> list[int]:
     """Minimum hashes for pieces by their number of runs; 0 where no passage fits."""
     own = passage - SHINGLE + 1
@@ -37,11 +40,14 @@ def bands(passage: int) -> list[int]:
     return [0 if u < own else 1 if u == own else int(np.ceil(np.log(MISS) / np.log(1 - own / u))) for u in sizes]
 
 
+@cache
+def _times(count: int) -> np.ndarray:
+    return np.random.default_rng(915).integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1)
+
+
 def _hashes(codes: np.ndarray, count: int) -> np.ndarray:
-    """``count`` hashes of every run of words; (runs, hashes)."""
-    random = np.random.default_rng(915)
-    times = random.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1)
-    return runs(codes, SHINGLE)[:, None] * times + times[::-1]
+    """``count`` hashes of every run of words; (runs, hashes). The runs are hashes themselves, so a product is enough."""
+    return runs(codes, SHINGLE)[:, None] * _times(count)
 
 
 def _minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -95,24 +101,44 @@ def _sketcher(passage: int, keys_of):
     return sketch
 
 
-def holds(document: list[str], item: list[str], passage: int, known: WordCodes) -> bool:
-    """Whether the document holds ``passage`` consecutive words of the item."""
-    a, b = (runs(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), passage) for w in (document, item))
-    for value in np.intersect1d(a, b):  # equal hashes; the words decide
-        wanted = [item[i : i + passage] for i in np.flatnonzero(b == value)]
-        if any(document[i : i + passage] in wanted for i in np.flatnonzero(a == value)):
-            return True
-    return False
+def _runs_of(text: str, passage: int, known: WordCodes) -> tuple[list[str], np.ndarray]:
+    words = WORD.findall(text.lower())
+    return words, runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), passage)
+
+
+def held(document: str, items: list[str], passage: int, known: WordCodes, seen: dict) -> list[bool]:
+    """Whether the document holds ``passage`` consecutive words of each of the items; ``seen`` keeps items from call to call."""
+    words, own = _runs_of(document, passage, known)
+    order = np.argsort(own)
+    own = own[order]
+    for text in items:
+        if text not in seen:
+            if len(seen) > 20_000:
+                seen.clear()
+            seen[text] = _runs_of(text, passage, known)
+    theirs = [seen.get(text) or _runs_of(text, passage, known) for text in items]
+    ends = np.cumsum([0, *(len(r) for _, r in theirs)])
+    wanted = np.concatenate([r for _, r in theirs]) if theirs else own[:0]
+    place = np.searchsorted(own, wanted)
+    met = np.flatnonzero(own[np.minimum(place, len(own) - 1)] == wanted) if len(own) else []
+    out = [False] * len(items)
+    for at in met:  # equal hashes; the words decide
+        k = int(np.searchsorted(ends, at, "right")) - 1
+        start = at - ends[k]
+        passage_words = theirs[k][0][start : start + passage]
+        first, last = np.searchsorted(own, wanted[at], "left"), np.searchsorted(own, wanted[at], "right")
+        out[k] = out[k] or any(words[i : i + passage] == passage_words for i in order[first:last])
+    return out
 
 
 def _verifier(passage: int):
     def verify(batches):
-        known = WordCodes()
+        known, seen = WordCodes(), {}
         for batch in batches:
             docs, hits = [], []
             for doc, text, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = WORD.findall(text.lower())
-                own = [x["item_id"] for x in items if holds(words, WORD.findall(x["text"].lower()), passage, known)]
+                found = held(text, [x["text"] for x in items], passage, known, seen)
+                own = [x["item_id"] for x, yes in zip(items, found, strict=True) if yes]
                 docs += [doc] * len(own)
                 hits += own
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "rep"])
@@ -143,8 +169,8 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = 10) -> DataFram
 
     asked = met.join(classes, "rep").groupBy("row").agg(F.collect_list(F.struct(F.col("rep").alias("item_id"), "text")).alias("items"))  # what the document met
     few = met.select("row").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = rows.select("doc_id", "text", row)
+    near = rows.select("doc_id", "text", row)
     if few:  # the texts stay where they are read, and only those that met something move
-        held = held.join(F.broadcast(met.select("row").distinct()), "row", "left_semi")
-    found = held.join(asked, "row").select("doc_id", "text", "items").mapInArrow(_verifier(passage), "doc_id bigint, rep bigint")
+        near = near.join(F.broadcast(met.select("row").distinct()), "row", "left_semi")
+    found = near.join(asked, "row").select("doc_id", "text", "items").mapInArrow(_verifier(passage), "doc_id bigint, rep bigint")
     return found.join(texts.join(classes, "text").select("rep", "item_id"), "rep").select("doc_id", "item_id")

@@ -145,7 +145,9 @@ def test_a_passage_meets_one_of_the_pieces(monkeypatch, slice_):
             doc = [*(f"z{x}" for x in random.integers(0, 10**6, before)), *item[2:12], *(f"z{x}" for x in random.integers(0, 10**6, after))]
             a, b = (np.array([known[w] for w in t], np.uint64) for t in (item, doc))
             assert len(np.intersect1d(leakage.passage_keys(a, 10), leakage.piece_keys(b, 10)))
-            assert leakage.holds(doc, item, 10, known) and not leakage.holds(doc, item, 11, known)
+            other = " ".join(item[::-1])
+            assert leakage.held(" ".join(doc), [other, " ".join(item)], 10, known, {}) == [False, True]
+            assert leakage.held(" ".join(doc), [" ".join(item)], 11, known, {}) == [False]
 
 
 def test_bands_by_size():
