@@ -5,7 +5,9 @@ fingerprint of 256 bits, whose Hamming distance estimates the similarity, and th
 of the coarse shards the text is sent to, of which two near copies share at least one.
 In each shard a vantage-point tree splits the fingerprints by their Hamming distance from a
 vantage point, where the split saves most comparisons; the triangle inequality rules
-branches out, and only fingerprints near a branch's boundary are compared across it.
+branches out, and only fingerprints near a branch's boundary are compared across it. Where
+no vantage point saves comparisons, as in shards of unrelated texts, all are compared (README.md
+has the figures).
 Pairs within the radius are verified on the exact sets. Exact copies form classes that are
 searched once. Shards too large for a task are cut into blocks, and pairs of blocks are
 searched apart.
