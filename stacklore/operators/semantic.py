@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
@@ -11,12 +13,16 @@ from pyspark.sql import functions as F
 from stacklore.functions.tables import dictionary_join, numbered
 from stacklore.functions.vectors import as_doubles, dot, normalize
 from stacklore.functions.vocabulary import category_prompts
-from stacklore.storage import cut
+from stacklore.storage import cut, drop
 
 #: Label vectors that are sent to the tasks at once.
 MOST_LABELS = 10_000
 #: Vectors of a block.
 BLOCK = 4096
+#: Cells of the term matrix that are kept together as arrays.
+CELLS = 300_000
+#: Numbers that go to every task, and come back from it, at once in a decomposition.
+SENT = 1_000_000
 
 
 def english_stop_words() -> list[str]:
@@ -183,46 +189,151 @@ def knn_cosine(vectors: DataFrame, k: int = 8, queries: DataFrame | None = None)
     return near.filter(F.col("place") <= k).select("id", "place", "neighbour", F.round(F.greatest("score", F.lit(0.0)), 5).alias("score"))
 
 
+def _term_blocks(batches):
+    """Rows (id, cells of at and weight) in blocks of about CELLS: ids, where each begins, terms, weights."""
+
+    def block(held):
+        ids, sizes, at, weight = (np.concatenate([h[i] for h in held]) for i in range(4))
+        start = np.cumsum(sizes) - sizes
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip((ids, start, at, weight), _KINDS, strict=True)], names=["id", "start", "at", "weight"])
+
+    held, size = [], 0
+    for batch in batches:
+        cells = batch.column(1).flatten()
+        held.append([batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()), *(cells.field(c).to_numpy() for c in ("at", "weight"))])
+        size += len(cells)
+        if size >= CELLS:
+            yield block(held)
+            held, size = [], 0
+    if size:
+        yield block(held)
+
+
+_KINDS = (np.int64, np.int64, np.int32, np.float64)
+
+
+def _cells(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(np.frombuffer(c[i].as_buffer(), k) for c, k in zip(b.columns, _KINDS, strict=True))
+
+
+def _times(start, at, weight, x: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x[at] * weight[:, None], start, axis=0)
+
+
+def _gram(blocks: DataFrame, x: np.ndarray) -> np.ndarray:
+    """The transposed matrix times the matrix times ``x``; every task sends its part to the driver."""
+    n, k = x.shape
+    context = blocks.sparkSession.sparkContext
+    sent = context.broadcast(x)
+
+    def run(batches):
+        x, out = sent.value, np.zeros((k, n))
+        for _, start, at, weight in _cells(batches):
+            y = np.repeat(_times(start, at, weight, x), np.diff(start, append=len(at)), axis=0)
+            for j in range(k):
+                out[j] += np.bincount(at, y[:, j] * weight, n)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+
+    parts = blocks.coalesce(context.defaultParallelism).mapInArrow(run, "part binary").toArrow().column("part")
+    sent.destroy()
+    total = np.zeros(n * k)
+    for part in parts:
+        total += np.frombuffer(part.as_buffer())
+    return np.ascontiguousarray(total.reshape(k, n).T)
+
+
+def _directions(multiply, width: int, dims: int, basis: np.ndarray, block: int, tolerance: float = 1e-8) -> tuple[np.ndarray, int]:
+    """The ``dims`` main directions of a symmetric matrix by block Lanczos with thick restarts: weights of the rows of ``basis``, and how many rows count.
+
+    Ends when every direction's residual is at most ``tolerance`` of the greatest eigenvalue, or the
+    basis spans everything. Directions that give nothing new are replaced by random ones.
+    """
+    random, most = np.random.default_rng(0), len(basis)
+    h, m = np.zeros((most, most)), 0
+    x = np.linalg.qr(random.normal(size=(width, min(block, width))))[0]
+    while True:
+        k = x.shape[1]
+        basis[m : m + k] = x.T
+        m += k
+        w = multiply(x)
+        along = np.zeros((m, k))
+        for _ in range(2):
+            again = basis[:m] @ w
+            w -= basis[:m].T @ again
+            along += again
+        h[:m, m - k : m] = along
+        h[m - k : m, :m] = along.T
+        values, s = np.linalg.eigh((h[:m, :m] + h[:m, :m].T) / 2)
+        values, s = values[::-1], s[:, ::-1]
+        x, r = np.linalg.qr(w)
+        residual = np.linalg.norm(r @ s[m - k :, :dims], axis=0)
+        if m >= width or (m >= dims and residual.max() <= tolerance * values[0]):
+            return s[:, :dims], m
+        if m + k > most and most < width:
+            keep = dims + (most - dims) // 3
+            for a in range(0, width, 8192):
+                basis[:keep, a : a + 8192] = s[:, :keep].T @ basis[:m, a : a + 8192]
+            h[:] = 0
+            h[range(keep), range(keep)] = values[:keep]
+            m = keep
+        x = x[:, : min(k, width - m)]
+        idle = np.abs(np.diag(r))[: x.shape[1]] <= 1e-12 * values[0]
+        if idle.any():
+            x[:, idle] = random.normal(size=(width, int(idle.sum())))
+            for _ in range(2):
+                x = np.linalg.qr(x - basis[:m].T @ (basis[:m] @ x))[0]
+
+
 def svd_embed(weights: DataFrame, dims: int = 96, docs: DataFrame | None = None) -> DataFrame:
     """(id, vector): rows of the long term matrix(id, term, weight) in ``dims`` directions, at length 1.
 
     Every id of docs(id) gets a row; without a weighted term it is the zero vector.
 
     Directions are those of the truncated singular value decomposition; their signs, and the
-    order within equal singular values, are arbitrary.
+    order within equal singular values, are arbitrary. The driver holds some numbers per term in
+    memory; the basis, two to three times ``dims`` numbers per term, is a temporary file of the driver.
     """
-    from pyspark.mllib.linalg import VectorUDT
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-    from pyspark.sql.types import LongType, StructField, StructType
-
     terms = cut(numbered(weights.select("term").distinct(), "term").withColumnRenamed("number", "at"))
     width = max(1, terms.count())
     cells = F.array_sort(F.collect_list(F.struct("at", "weight")))
-    rows = cut(weights.join(terms, "term").groupBy("id").agg(cells.alias("cells")))
+    rows = weights.join(terms, "term").groupBy(F.col("id").cast("bigint").alias("id")).agg(cells.alias("cells"))
+    rows = cut(rows.select("id", "cells"))
     count = rows.count()
     dims = max(1, min(dims, max(2, min(count, width) - 1), width))
     if not count:
         ids = rows if docs is None else docs
         return ids.select(F.col("id").cast("bigint").alias("id"), F.array_repeat(F.lit(0.0), dims).alias("vector"))
 
-    # The vectors are made in the JVM: written as the fields of a sparse vector, read as vectors.
-    sparse = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(width).alias("size"), F.transform("cells", lambda c: c["at"].cast("int")).alias("indices"), F.transform("cells", lambda c: c["weight"]).alias("values")
-    )
-    written = cut(rows.select(F.col("id").cast("bigint").alias("index"), sparse.alias("vector")))
-    kind = StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])
-    matrix = IndexedRowMatrix(rows.sparkSession.read.schema(kind).parquet(written._stacklore_table))
-    v = matrix.computeSVD(dims, computeU=False).V.toArray()  # width x dims
+    blocks = cut(rows.mapInArrow(_term_blocks, "id binary, start binary, at binary, weight binary"))
+    drop(rows)
+    block = max(1, min(16, SENT // width))
+    most = min(width, 2 * dims + 4 * block + 16)
+    context, slices = rows.sparkSession.sparkContext, []
+    with tempfile.TemporaryFile() as file:
+        basis = np.memmap(file, np.float64, "w+", shape=(most, width))
+        s, m = _directions(lambda x: _gram(blocks, x), width, dims, basis, block)
+        step = max(1, 4 * SENT // width)
+        for a in range(0, dims, step):
+            slices.append(context.broadcast(basis[:m].T @ np.ascontiguousarray(s[:, a : a + step])))
+        del basis
 
     def project(batches):
-        for batch in batches:
-            out = []
-            for cells in batch.column(1).to_pylist():
-                x = np.array([c["weight"] for c in cells]) @ v[[c["at"] for c in cells]]
-                out.append((x / (np.linalg.norm(x) or 1.0)).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
-
-    found = rows.mapInArrow(project, "id bigint, vector array<double>")
+        held = list(_cells(batches))
+        out = [[] for _ in held]
+        for v in slices:
+            for found, (_, start, at, weight) in zip(out, held, strict=True):
+                found.append(_times(start, at, weight, v.value))
+            del v._value  # one slice at a time
+        for found, (ids, *_) in zip(out, held, strict=True):
+            x = np.concatenate(found, axis=1)
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims, dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), values], names=["id", "vector"])
+
+    found = blocks.mapInArrow(project, "id bigint, vector array<double>")
     if docs is None:
         return found
     zero = F.array_repeat(F.lit(0.0), dims)

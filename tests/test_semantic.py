@@ -138,3 +138,23 @@ def test_every_document_gets_a_vector_and_every_term_a_weight(spark):
     assert semantic.svd_embed(semantic.tfidf_weights(docs.filter("id > 2")), docs=docs.filter("id > 2")).count() == 2
     many = spark.createDataFrame([(i, " ".join(f"t{j}" for j in range(13_000))) for i in range(2)], "id bigint, text string")
     assert semantic.tfidf_weights(many, grams=1, stop_words=[]).count() == 26_000
+
+
+def test_svd_without_a_dense_table_in_the_driver(spark, monkeypatch):
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+
+    monkeypatch.setattr(IndexedRowMatrix, "computeSVD", None)
+    random = np.random.default_rng(7)
+    a = random.random((300, 260)) * (random.random((300, 260)) < 0.05) * np.arange(1, 261) ** -0.3
+    weights = spark.createDataFrame([(int(i), f"t{j:03}", float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "id bigint, term string, weight double")
+    got = {r["id"]: np.array(r["vector"]) for r in semantic.svd_embed(weights, 8).collect()}
+    v = np.linalg.svd(a)[2][:8].T
+    for i, x in got.items():
+        want = a[i] @ v / np.linalg.norm(a[i] @ v)
+        assert x @ got[0] == pytest.approx(want @ (a[0] @ v) / np.linalg.norm(a[0] @ v), abs=1e-6)
+    assert len(got) == (a.any(axis=1)).sum()
+    symmetric = a.T @ a
+    basis = np.zeros((40, 260))  # restarts
+    s, m = semantic._directions(lambda x: symmetric @ x, 260, 8, basis, 4)
+    found = basis[:m].T @ s
+    assert np.abs(found @ (found.T @ v) - v).max() < 1e-5
